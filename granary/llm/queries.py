@@ -5,7 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 #: query -> module
-MODULES = {"op10_simhash": "simhash"}
+MODULES = {
+    "op5_arrow_ids": "arrow_ids",
+    "op7_packing": "packing",
+    "op10_simhash": "simhash",
+}
 ORACLES: dict[str, str] = {}
 
 

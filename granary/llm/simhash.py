@@ -7,7 +7,9 @@ word lies within 3 bits of exactly one codeword (covering radius 3, a perfect co
 the nearest pair is a fingerprint's home. If two fingerprints differ in d <= 3 bits, then the home of one lies, in the two
 blocks together, within radius plus d of the other. So every fingerprint is replicated to all anchors within radius plus
 threshold, counted by block, and is compared there with those at home: no link can be missed. There are 2**24 anchors at
-any input size. A bitmap of the occupied ones (2 MB, a constant) spares replicas that nobody would meet.
+any input size. Two bitmaps of what is at home (2 and 8 MB, constants) spare replicas that nobody can meet: one holds the
+occupied anchors; the other holds them together with the 18 bits outside the blocks, since a replica that is beyond the radius by
+3 can only link if those bits are all equal, and one beyond it by 2 if either half of them is.
 """
 
 from __future__ import annotations
@@ -92,8 +94,8 @@ def homes(fp: np.ndarray) -> np.ndarray:
     return home[low].astype(np.int64) << 12 | home[high].astype(np.int64)
 
 
-def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pieces of (row, anchor): all anchors of each of the fingerprints, home included."""
+def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of (row, anchor, cost): all anchors of each of the fingerprints, home included; cost: by how much it is beyond the radius."""
     home, error, near, cost = golay()
     a, b = (fp & np.uint64(0x7FFFFF)).astype(np.int64), (fp >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64)
     ha, hb, na, nb, ca, cb = home[a].astype(np.int64), home[b].astype(np.int64), near[error[a]].astype(np.int64), near[error[b]].astype(np.int64), cost[error[a]], cost[error[b]]
@@ -104,7 +106,29 @@ def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left = THRESHOLD - ca[row, i]
         width = int((cb[row] <= left[:, None]).sum(axis=1).max())
         r, j = np.nonzero(cb[row, :width] <= left[:, None])
-        yield row[r], (ha[row[r]] ^ na[row[r], i]) << 12 | (hb[row[r]] ^ nb[row[r], j])
+        yield row[r], (ha[row[r]] ^ na[row[r], i]) << 12 | (hb[row[r]] ^ nb[row[r], j]), ca[row[r], i] + cb[row[r], j]
+
+
+def rest_keys(fp: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
+    """Bits of the second bitmap: anchor with all 18 remaining bits, with their lower half, with their upper half."""
+    rest = fp >> np.uint64(46)
+    parts = rest, rest & np.uint64(511) | np.uint64(1 << 20), rest >> np.uint64(9) | np.uint64(1 << 21)
+    return [(((anchor.astype(np.uint64) << np.uint64(24) ^ x) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(38)).astype(np.int64) for x in parts]
+
+
+class Bitmaps:
+    """What is at home: 2**24 bits for anchors, then 2**26 for anchors with remaining bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, bit: np.ndarray) -> np.ndarray:
+        return (self.words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def may_meet(self, fp: np.ndarray, anchor: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.has(anchor))
+        whole, low, high = (self.has(k + (1 << 24)) for k in rest_keys(fp[at], anchor[at]))
+        return at[np.select([cost[at] >= 3, cost[at] == 2], [whole, low | high], True)]
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -116,24 +140,25 @@ def links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     small_batches(spark)
 
-    def home_of(batches):
+    def bits(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(homes(fp))], ["anchor"])
+            own = homes(fp)
+            bit = np.concatenate([own, *(k + (1 << 24) for k in rest_keys(fp, own))])
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.uint64(1) << (bit & 63).astype(np.uint64)).view(pa.int64())], ["w", "b"])
 
-    at_home = distinct.mapInArrow(home_of, "anchor long")
-    occupied = np.zeros(1 << 18, np.uint64)
-    words = at_home.groupBy(F.shiftright("anchor", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(anchor & 63 as int)))").alias("bits")).toPandas()
-    occupied[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    bitmap = spark.sparkContext.broadcast(occupied)
+    set_bits = distinct.mapInArrow(bits, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toPandas()
+    words = np.zeros((1 << 18) + (1 << 20), np.uint64)
+    words[set_bits["w"].to_numpy(np.int64)] = set_bits["b"].to_numpy(np.int64).view(np.uint64)
+    bitmaps = spark.sparkContext.broadcast(words)
 
     def replicate(batches):
-        taken = bitmap.value
+        there = Bitmaps(bitmaps.value)
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             own, kept = homes(fp), []
-            for row, anchor in anchors(fp):
-                met = (taken[anchor >> 6] >> (anchor & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            for row, anchor, cost in anchors(fp):
+                met = there.may_meet(fp[row], anchor, cost)
                 kept.append((row[met], anchor[met]))
             if kept:
                 row, anchor = (np.concatenate(x) for x in zip(*kept, strict=True))
