@@ -6,8 +6,12 @@ from importlib import import_module
 
 #: query -> module
 MODULES = {
+    "op1_fingerprints": "prefix_hash",
+    "op2_secrets": "secret_scan",
     "op5_arrow_ids": "arrow_ids",
     "op7_packing": "packing",
+    "op8_licences": "licence_scan",
+    "op9_language": "language",
     "op10_simhash": "simhash",
 }
 ORACLES: dict[str, str] = {}
