@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op1_fingerprints": "prefix_hash",
     "op2_secrets": "secret_scan",
+    "op3_decontamination": "decontaminate",
+    "op4_chunk_dedup": "chunks",
     "op5_arrow_ids": "arrow_ids",
     "op7_packing": "packing",
     "op8_licences": "licence_scan",
