@@ -11,6 +11,7 @@ MODULES = {
     "op3_decontamination": "decontaminate",
     "op4_chunk_dedup": "chunks",
     "op5_arrow_ids": "arrow_ids",
+    "op6_main_text": "html_blocks",
     "op7_packing": "packing",
     "op8_licences": "licence_scan",
     "op9_language": "language",
