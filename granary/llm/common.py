@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Both bound what a Python worker holds at once.
@@ -90,12 +90,21 @@ def per_row(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]]
     return df.select(*cols).mapInArrow(run, StructType.fromDDL(schema))
 
 
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of df, all columns as they are, of whose column the function that make() returns is true. make() runs once for each task."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            yield batch.filter(pa.array([keep(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def to_arrow(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
-
-
-def no_null(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(""))

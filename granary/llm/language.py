@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import per_row, table
+from granary.llm.common import keep_rows, per_row, table
 
 #: Width of the vectors, and rows of each language that training sees at most (about).
 WIDTH, SAMPLE = 1 << 12, 400
@@ -140,6 +140,17 @@ def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return per_row(docs, "doc_id long, held_out boolean, lang_pred string, score double", make, F.col("doc_id").cast("long").alias("doc_id"), (remainder() == 1).alias("held_out"), F.col("text"))
 
 
+def known_language(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """docs without the rows whose language cannot be told (und): null texts and texts without a letter. All other rows and all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+
+    def make():
+        learned = shared.value
+        return lambda text: learned.predict(text or "")[0] != UNKNOWN
+
+    return keep_rows(docs, "text", make)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

@@ -19,10 +19,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, parallelism, per_row, small_batches, texts
+from granary.llm.common import materialize, parallelism, per_row, small_batches, table, texts
 from granary.llm.graph import components
 
 THRESHOLD = 3
@@ -52,16 +52,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, row_key, fp): fp as a signed long; row_key is a hash of doc_id and text."""
 
     def make():
-        def one(doc_id, text):
+        def one(doc_id, row_key, text):
             fp = fingerprint(text, size)
-            return doc_id, fp - (1 << 64) if fp >> 63 else fp
+            return doc_id, row_key, fp - (1 << 64) if fp >> 63 else fp
 
         return one
 
-    return per_row(texts(docs), "doc_id long, fp long", make, "doc_id", "text")
+    return per_row(texts(docs), "doc_id long, row_key long, fp long", make, "doc_id", F.xxhash64("doc_id", "text"), "text")
 
 
 @lru_cache(1)
@@ -235,7 +235,7 @@ def forest(home: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each row of docs.
+    """(doc_id, row_key, fp, component_id), one row for each row of docs.
 
     component_id: the smallest doc_id that links reach, its own included. Null and empty texts have fingerprint 0 and are
     linked like any other. Rows with a null doc_id are kept and never name a component (their component_id is null where
@@ -248,10 +248,23 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(linked.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "named")
     of_class = materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")  # a hot fingerprint's rows are split by adaptive execution
+    return prints.join(of_class, "fp").select("doc_id", "row_key", "fp", "component_id")  # a hot fingerprint's rows are split by adaptive execution
 
 
-def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    from granary.llm.common import table
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """docs with one row of each group of simhash_groups: the smallest doc_id's, of rows that share it one; a group without any doc_id keeps one row too. All
+    columns stay as they are."""
+    groups = materialize(simhash_groups(docs, size), "groups")
+    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
+    kept = groups.groupBy(group.alias("g")).agg(first.alias("k")).select("k.row_key")
+    again = groups.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key")
+    kept = materialize(kept.join(again.withColumn("again", F.lit(True)), "row_key", "left").select(F.col("row_key").alias("_key"), F.coalesce("again", F.lit(False)).alias("_again")), "kept")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    once = keyed.join(kept.where("not _again"), "_key", "left_semi")
+    more = keyed.join(kept.where("_again"), "_key", "left_semi").dropDuplicates(["_key"])  # rows that occur again and again
+    return once.unionByName(more).select(docs.columns)
 
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
