@@ -7,7 +7,7 @@ word lies within 3 bits of exactly one codeword (covering radius 3, a perfect co
 the nearest pair is a fingerprint's home. If two fingerprints differ in d <= 3 bits, then the home of one lies, in the two
 blocks together, within radius plus d of the other. So every fingerprint is replicated to all anchors within radius plus
 threshold, counted by block, and is compared there with those at home: no link can be missed. There are 2**24 anchors at
-any input size. Two bitmaps of what is at home (2 and 8 MB, constants) spare replicas that nobody can meet: one holds the
+any input size. Two bitmaps of what is at home (2 MB each, constants) spare replicas that nobody can meet: one holds the
 occupied anchors; the other holds them together with the 18 bits outside the blocks, since a replica that is beyond the radius by
 3 can only link if those bits are all equal, and one beyond it by 2 if either half of them is.
 """
@@ -113,11 +113,11 @@ def rest_keys(fp: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
     """Bits of the second bitmap: anchor with all 18 remaining bits, with their lower half, with their upper half."""
     rest = fp >> np.uint64(46)
     parts = rest, rest & np.uint64(511) | np.uint64(1 << 20), rest >> np.uint64(9) | np.uint64(1 << 21)
-    return [(((anchor.astype(np.uint64) << np.uint64(24) ^ x) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(38)).astype(np.int64) for x in parts]
+    return [(((anchor.astype(np.uint64) << np.uint64(24) ^ x) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) for x in parts]
 
 
 class Bitmaps:
-    """What is at home: 2**24 bits for anchors, then 2**26 for anchors with remaining bits."""
+    """What is at home: 2**24 bits for anchors, then 2**24 for anchors with remaining bits."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -147,9 +147,9 @@ def links(distinct: DataFrame) -> DataFrame:
             bit = np.concatenate([own, *(k + (1 << 24) for k in rest_keys(fp, own))])
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.uint64(1) << (bit & 63).astype(np.uint64)).view(pa.int64())], ["w", "b"])
 
-    set_bits = distinct.mapInArrow(bits, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toPandas()
-    words = np.zeros((1 << 18) + (1 << 20), np.uint64)
-    words[set_bits["w"].to_numpy(np.int64)] = set_bits["b"].to_numpy(np.int64).view(np.uint64)
+    set_bits = distinct.mapInArrow(bits, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    words = np.zeros(1 << 19, np.uint64)
+    words[set_bits["w"].to_numpy()] = set_bits["b"].to_numpy().view(np.uint64)
     bitmaps = spark.sparkContext.broadcast(words)
 
     def replicate(batches):
