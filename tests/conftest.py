@@ -8,8 +8,6 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
-DATA = Path(os.environ.get("TEST_DATA", "/root/testdata"))
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

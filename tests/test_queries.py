@@ -1,12 +1,13 @@
 """Every query with SQL against DuckDB on the same tables, as the driver compares them."""
 
+import os
+
 import duckdb
 import pytest
-from conftest import DATA
 
 from granary.plans import catalogue
 
-SF = f"{DATA}/sf0.01"
+SF = os.environ.get("TEST_DATA", "/root/testdata") + "/sf0.01"
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
 
