@@ -3,7 +3,7 @@
 Pieces matter only by length, so the whole problem is a histogram of at most 2048 counts, whatever the corpus holds. A configuration is a
 multiset of lengths that fit into one sequence. The program (as few sequences as cover every length's count) is solved by multiplicative
 weights: lengths that are covered less get more weight, and a knapsack dynamic program prices the best configuration for the weights. The
-solution is rounded, within what there is; what is left is solved again, and the last rest goes, best fit first, into the gaps.
+solution is rounded down, within what there is; the rest goes, best fit first, into the gaps.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from granary.llm.tokens import Encoder
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 CAPACITY = 2048
-#: Pricing rounds of a solution, tolerance within which a configuration counts as best, and how often the rest is solved again.
-ROUNDS, TOLERANCE, PASSES = 20, 0.05, 2
+#: Pricing rounds of a solution, tolerance within which a configuration counts as best, and factors by which the solution is scaled before it is rounded down.
+ROUNDS, TOLERANCE, SCALES = 20, 0.05, (1.0, 0.8, 0.5)
 
 def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: best[c], the most value of lengths that sum to c or less, and choice[c], a length to take there (0: none).
@@ -44,7 +44,7 @@ def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float
     """Configurations and how often each is used, by multiplicative weights; scaled so that half of the lengths are used as often as they occur."""
     present = np.flatnonzero(counts)
     cover, used = np.zeros(capacity + 1), defaultdict(float)
-    for _ in range(ROUNDS):
+    for _ in range(max(ROUNDS, ROUNDS * 2048 // capacity)):
         value = np.zeros(capacity + 1)
         value[present] = np.exp(-(cover[present] - cover[present].min()) * 4) * present / capacity
         best, choice = price(value, capacity)
@@ -74,26 +74,37 @@ def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float
     return {c: x / scale for c, x in used.items()}
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """counts[k]: pieces of length k -> (lengths in one sequence, sequences of that kind), which together hold every piece."""
-    left, found = counts.astype(np.int64).copy(), []
-    if left[capacity]:
-        found.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    for _ in range(PASSES):
-        if left.sum() < 64:
+def rounded(solution: dict[tuple[int, ...], float], counts: np.ndarray, scale: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers of configurations, fullest first, within what there is. Those emptier than the solution's mean are left out: what they would hold may go into gaps."""
+    left, found = counts.copy(), []
+    mean = sum(x * sum(c) for c, x in solution.items()) / sum(solution.values())
+    for config, x in sorted(solution.items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0])):
+        if sum(config) < mean:
             break
-        solution = fractional(left, capacity)
-        mean = sum(x * sum(c) for c, x in solution.items()) / sum(solution.values())
-        for config, x in sorted(solution.items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0])):
-            if sum(config) < mean:
-                break  # what emptier ones hold may go into gaps
-            kinds, times = np.unique(config, return_counts=True)
-            n = min(round(x), int((left[kinds] // times).min()))
-            if n > 0:
-                found.append((config, n))
-                left[kinds] -= n * times
-    return best_fit(left, found, capacity)
+        kinds, times = np.unique(config, return_counts=True)
+        n = min(int(x * scale), int((left[kinds] // times).min()))
+        if n > 0:
+            found.append((config, n))
+            left[kinds] -= n * times
+    return found
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """counts[k]: pieces of length k -> (lengths in one sequence, sequences of that kind), which together hold every piece. The roundings of SCALES are completed best fit
+    first; the one with the fewest sequences is taken."""
+    left = counts.astype(np.int64).copy()
+    full = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    if not left.any():
+        return full
+    solution, best = fractional(left, capacity), None
+    for scale in SCALES:
+        found = rounded(solution, left, scale)
+        rest = left - sum((np.bincount(c, minlength=capacity + 1) * n for c, n in found), np.zeros(capacity + 1, np.int64))
+        found = best_fit(rest, found, capacity)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+    return full + best
 
 
 def best_fit(left: np.ndarray, opened: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
