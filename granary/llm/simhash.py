@@ -31,6 +31,9 @@ SEED = 42
 #: An anchor with more replicas than this is dealt to several tasks.
 HOT_ANCHOR = 20_000
 
+#: Near-duplicates: words in a shingle, least similarity, fingerprints over the set of words, and bits in which all fingerprints of a candidate pair may differ together.
+NEAR_SHINGLE, SIMILARITY, WORD_PRINTS, CANDIDATE_BITS = 5, 0.8, 8, 96
+
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -45,10 +48,15 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         return 0
     shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
     h = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+    return int(majority(h))
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -131,89 +139,94 @@ class Bitmaps:
         return at[np.select([cost[at] >= 3, cost[at] == 2], [whole, low | high], True)]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """fp long, each once -> (u, v): links that join the same fingerprints as all pairs within THRESHOLD bits do.
+def links(classes: DataFrame, most: int | None = None) -> DataFrame:
+    """id long, s0, s1, ... long, each id once -> (u, v), pairs of ids.
 
-    Within an anchor only a spanning forest of its links is returned, so that a dense group costs as many rows as it has
-    members. An anchor with many replicas is dealt to several tasks: each replica goes to one, those at home to all.
+    Two ids link if one of their fingerprints s0, s1, ... differs in THRESHOLD bits or fewer; with `most`, all of them together must not differ in more bits than that. The
+    pairs returned join the same ids as all links do: within an anchor they are a spanning forest of its links, so that a dense group costs as many rows as it has members.
+    An anchor with many replicas is dealt to several tasks: each replica goes to one, those at home to all.
     """
-    spark = distinct.sparkSession
+    spark, kinds = classes.sparkSession, len(classes.columns) - 1
     small_batches(spark)
-
-    def bits(batches):
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own = homes(fp)
-            bit = np.concatenate([own, *(k + (1 << 24) for k in rest_keys(fp, own))])
-            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.uint64(1) << (bit & 63).astype(np.uint64)).view(pa.int64())], ["w", "b"])
-
-    set_bits = distinct.mapInArrow(bits, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
-    words = np.zeros(1 << 19, np.uint64)
-    words[set_bits["w"].to_numpy()] = set_bits["b"].to_numpy().view(np.uint64)
+    words = np.zeros((kinds, 1 << 19), np.uint64)
+    for k in range(kinds):  # one at a time: each is 4 MB at most when it arrives
+        set_bits = classes.select(f"s{k}").mapInArrow(_home_bits, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+        words[k, set_bits["w"].to_numpy()] = set_bits["b"].to_numpy().view(np.uint64)
     bitmaps = spark.sparkContext.broadcast(words)
+    names = ["k", "anchor", "home", "id", *(f"s{k}" for k in range(kinds))]
 
     def replicate(batches):
-        there = Bitmaps(bitmaps.value)
+        there = [Bitmaps(w) for w in bitmaps.value]
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own, kept = homes(fp), []
-            for row, anchor, cost in anchors(fp):
-                met = there.may_meet(fp[row], anchor, cost)
-                kept.append((row[met], anchor[met]))
-            if kept:
-                row, anchor = (np.concatenate(x) for x in zip(*kept, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row].view(np.int64)), pa.array(own[row] == anchor)], ["anchor", "fp", "home"])
-
-    replicas = materialize(distinct.mapInArrow(replicate, "anchor long, fp long, home boolean"), "replicas")
-    counted = replicas.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("h"))
-    hot = materialize(counted.where(F.col("n") > HOT_ANCHOR).select("anchor", F.ceil(F.col("n") / HOT_ANCHOR).cast("int").alias("salts")), "hot")
-    salted = replicas.join(hot, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    salted = salted.select("anchor", "fp", "home", F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("own"), F.explode(F.when(F.col("home") & (F.col("salts") > 1), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), "salts").cast("int")))).alias("salt"))
-    dealt = salted.repartition(parallelism(replicas), "anchor", "salt").sortWithinPartitions("anchor", "salt")
+            for k in range(kinds):
+                fp = b.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+                own, kept = homes(fp), []
+                for row, anchor, cost in anchors(fp):
+                    met = there[k].may_meet(fp[row], anchor, cost)
+                    kept.append((row[met], anchor[met]))
+                if kept:
+                    row, anchor = (np.concatenate(x) for x in zip(*kept, strict=True))
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(anchor), pa.array(own[row] == anchor), *(c.take(at) for c in b.columns)], names)
+
+    ddl = "k int, anchor long, home boolean, id long, " + ", ".join(f"s{k} long" for k in range(kinds))
+    replicas = materialize(classes.mapInArrow(replicate, ddl), "replicas")
+    counted = replicas.groupBy("k", "anchor").agg(F.count("*").alias("n"))
+    hot = materialize(counted.where(F.col("n") > HOT_ANCHOR).select("k", "anchor", F.ceil(F.col("n") / HOT_ANCHOR).cast("int").alias("salts")), "hot")
+    salted = replicas.join(hot, ["k", "anchor"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    one = F.pmod(F.xxhash64("id"), "salts").cast("int")
+    salted = salted.select(*names, F.explode(F.when(F.col("home") & (F.col("salts") > 1), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(one))).alias("salt"))
+    dealt = salted.repartition(parallelism(replicas), "k", "anchor", "salt").sortWithinPartitions("k", "anchor", "salt")
 
     def compare(batches):
-        """One anchor and salt at a time."""
-        key, parts = None, []
-        out_u: list = []
-        out_v: list = []
+        """One kind, anchor and salt at a time."""
+        key, parts, found = None, [], []
 
         def close():
-            if parts:
-                fp, home = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                u, v = forest(fp[home], fp)
-                if len(u):
-                    out_u.append(u)
-                    out_v.append(v)
+            if sum(map(len, parts)) > 1:
+                rows = np.concatenate(parts)
+                pairs = forest(rows[:, 2:].view(np.uint64), rows[:, 0] > 0, key[0], most)
+                found.extend((rows[x, 1], rows[y, 1]) for x, y in pairs)
             parts.clear()
 
         for b in batches:
-            anchor, salt = b.column(0).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
-            fp, home = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(anchor) != 0) | (np.diff(salt) != 0)) + 1, [len(anchor)]])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e == s:
+            k, anchor, home, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            salt = b.column(4 + kinds).to_numpy(zero_copy_only=False)
+            rows = np.stack([home.astype(np.int64), own, *(b.column(4 + i).to_numpy(zero_copy_only=False) for i in range(kinds))], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(anchor) != 0) | (np.diff(k) != 0) | (np.diff(salt) != 0)) + 1, [len(k)]])
+            for i in np.flatnonzero((np.diff(cuts) > 1) | (cuts[:-1] == 0) | (cuts[1:] == len(k))).tolist():  # others are alone
+                s, e = int(cuts[i]), int(cuts[i + 1])
+                if s == e:
                     continue
-                if key != (k := (anchor[s], salt[s])):
+                if key != (here := (int(k[s]), int(anchor[s]), int(salt[s]))):
                     close()
-                    key = k
-                parts.append((fp[s:e], home[s:e]))
-            if len(out_u) > 64:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_u, out_v)], ["u", "v"])
-                out_u.clear(), out_v.clear()
+                    key = here
+                parts.append(rows[s:e])
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found.clear()
         close()
-        if out_u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_u, out_v)], ["u", "v"])
+        if found:
+            yield _pairs(found)
 
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def forest(home: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between those at home and all that are here."""
-    if not len(home) or len(here) < 2:
-        return here[:0], here[:0]
-    here, home = np.unique(here), np.unique(home)
-    at = np.searchsorted(here, home)
-    parent = np.arange(len(here))
+def _home_bits(batches):
+    for b in batches:
+        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        own = homes(fp)
+        bit = np.concatenate([own, *(k + (1 << 24) for k in rest_keys(fp, own))])
+        yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.uint64(1) << (bit & 63).astype(np.uint64)).view(pa.int64())], ["w", "b"])
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+
+
+def forest(prints: np.ndarray, home: np.ndarray, kind: int, most: int | None) -> list[tuple[int, int]]:
+    """prints: one row for each member, one column for each kind of fingerprint. A spanning forest of the links between members at home and all members, by position."""
+    parent, at_home, out = list(range(len(prints))), np.flatnonzero(home), []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -221,17 +234,20 @@ def forest(home: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x = parent[x]
         return x
 
-    u, v = [], []
-    step = max(1, (1 << 20) // len(here))
-    for i in range(0, len(home), step):
-        a, b = np.nonzero(np.bitwise_count(home[i : i + step, None] ^ here[None, :]) <= THRESHOLD)
-        for x, y in zip(at[a + i].tolist(), b.tolist(), strict=True):
-            p, q = (root(x), root(y)) if x != y else (0, 0)
+    step = max(1, (1 << 20) // len(prints))
+    for i in range(0, len(at_home), step):
+        some = at_home[i : i + step]
+        a, b = np.nonzero(np.bitwise_count(prints[some, kind][:, None] ^ prints[:, kind][None, :]) <= THRESHOLD)
+        a, b = some[a][some[a] != b], b[some[a] != b]
+        if most is not None and len(a):
+            near = np.concatenate([np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1) <= most for x, y in zip(np.array_split(a, 1 + len(a) // 100_000), np.array_split(b, 1 + len(a) // 100_000), strict=True)])
+            a, b = a[near], b[near]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = root(x), root(y)
             if p != q:
                 parent[p] = q
-                u.append(here[x])
-                v.append(here[y])
-    return np.array(u, np.uint64), np.array(v, np.uint64)
+                out.append((x, y))
+    return out
 
 
 def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -243,7 +259,7 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     prints = materialize(fingerprints(docs, size), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(classes.select("fp")))
+    roots = components(links(classes.select(F.col("fp").alias("id"), F.col("fp").alias("s0"))))
     linked = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(linked.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "named")
@@ -251,13 +267,66 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return prints.join(of_class, "fp").select("doc_id", "row_key", "fp", "component_id")  # a hot fingerprint's rows are split by adaptive execution
 
 
-def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """docs with one row of each group of simhash_groups: the smallest doc_id's, of rows that share it one; a group without any doc_id keeps one row too. All
-    columns stay as they are."""
-    groups = materialize(simhash_groups(docs, size), "groups")
-    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
+def word_prints(text: str) -> tuple[int, list[int]]:
+    """Hash of the words in order, lower-cased; WORD_PRINTS fingerprints over the set of words, each with hashes of its own, and the one of shingles; signed longs."""
+    from xxhash import xxh3_64_intdigest
+
+    words = text.encode().translate(_LOWER).split()
+    h = np.fromiter(map(xxh3_64_intdigest, set(words)), np.uint64)
+    prints = np.zeros(WORD_PRINTS + 1, np.uint64)
+    for k in range(WORD_PRINTS if len(h) else 0):
+        z = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        prints[k] = majority(z ^ z >> np.uint64(31))
+    prints[WORD_PRINTS] = fingerprint(text)
+    key = np.array([xxh3_64_intdigest(b" ".join(words))], np.uint64)
+    return int(key.view(np.int64)[0]), prints.view(np.int64).tolist()
+
+
+def shingle_set(text: str) -> list[int]:
+    """Sorted hashes of the NEAR_SHINGLE-word shingles; fewer words: one of them all; none: none."""
+    from xxhash import xxh3_64_intdigest
+
+    words = text.encode().translate(_LOWER).split()
+    shingles = [b" ".join(words)] if 0 < len(words) < NEAR_SHINGLE else map(b" ".join, zip(*(words[i:] for i in range(NEAR_SHINGLE)), strict=False))
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64)).view(np.int64).tolist()
+
+
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, group), one row for each row of docs: near-duplicates (Jaccard similarity of NEAR_SHINGLE-word shingles of SIMILARITY or more) share a group.
+
+    One fingerprint at THRESHOLD bits finds few texts that are only so much alike, so candidates are links of any of WORD_PRINTS fingerprints over the set of words, or of the one
+    over shingles, whose fingerprints together differ in CANDIDATE_BITS bits or fewer. Candidates are then checked exactly, and groups are the components of those that
+    pass. Texts that are equal but for A-Z case and white space are one from the start; so are null, empty and blank ones. Rows with null or repeated doc_ids each come back.
+    """
+    kinds = [f"s{k}" for k in range(WORD_PRINTS + 1)]
+
+    def make():
+        def one(doc_id, row_key, text):
+            key, prints = word_prints(text)
+            return doc_id, row_key, key, *prints
+
+        return one
+
+    rows = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    prints = materialize(per_row(rows, "doc_id long, row_key long, id long, " + ", ".join(f"{k} long" for k in kinds), make, "doc_id", "row_key", "text"), "prints")
+    classes = materialize(prints.groupBy("id").agg(F.min("row_key").alias("row_key"), *(F.first(k).alias(k) for k in kinds)), "classes")
+    candidates = materialize(links(classes.select("id", *kinds), CANDIDATE_BITS).distinct(), "candidates")
+    named = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(classes.select("id", "row_key"), "id")
+    held = rows.join(named, "row_key").select("id", "text")
+    sets = materialize(per_row(held, "id long, shingles array<long>", lambda: lambda key, text: (key, shingle_set(text)), "id", "text").dropDuplicates(["id"]), "shingles")
+    pairs = candidates.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    alike = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= SIMILARITY
+    roots = materialize(components(pairs.where(alike).select("u", "v")), "roots")
+    return prints.select("doc_id", "row_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("group"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near_duplicate_groups: the smallest doc_id's (null ids last), of rows that share it one. All columns stay as they are."""
+    groups = materialize(near_duplicate_groups(docs), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
-    kept = groups.groupBy(group.alias("g")).agg(first.alias("k")).select("k.row_key")
+    kept = groups.groupBy("group").agg(first.alias("k")).select("k.row_key")
     again = groups.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key")
     kept = materialize(kept.join(again.withColumn("again", F.lit(True)), "row_key", "left").select(F.col("row_key").alias("_key"), F.coalesce("again", F.lit(False)).alias("_again")), "kept")
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
