@@ -128,6 +128,10 @@ class Database:
     def trace(self, source: str) -> str:
         return "\n".join(D.sql_of(s) for s in D.parse(source))
 
+    def explain(self, source: str) -> str:
+        """The physical plan of one SELECT."""
+        return self.sql(source)._jdf.queryExecution().toString()
+
     def run(self, s: D.Statement) -> Result:
         return _RUN[type(s)](self, s)
 

@@ -48,7 +48,7 @@ def cell_extents(rows: DataFrame, x: str, y: str, side: float) -> DataFrame:
 
 
 def gridded(rows: DataFrame, layout: dict, tiles: int) -> tuple[DataFrame, dict]:
-    """Rows with cell columns _cx and _cy, a cell's rows together, and the layout with its origin and sides."""
+    """Rows with cell columns _cx and _cy, a cell's rows together unless they are too many for a task, and the layout with its origin and sides."""
     x, y = layout["by"]
     low = extent(rows, x, y) or (0.0, 0.0, 1.0, 1.0)
     sides = [max((low[i + 2] - low[i]) / tiles, 1e-9) for i in (0, 1)]
@@ -58,7 +58,7 @@ def gridded(rows: DataFrame, layout: dict, tiles: int) -> tuple[DataFrame, dict]
         return F.least(F.floor((F.col(c).cast("double") - low[i]) / sides[i]), F.lit(tiles - 1)).cast("int")
 
     laid = rows.withColumns({"_cx": cell(x, 0), "_cy": cell(y, 1)})
-    return laid.repartition("_cx", "_cy").sortWithinPartitions("_cx", "_cy", x, y), layout
+    return laid.hint("rebalance", "_cx", "_cy").sortWithinPartitions("_cx", "_cy", x, y), layout
 
 
 def cells_around(circle: dict, layout: dict) -> Column:

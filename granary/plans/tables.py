@@ -163,6 +163,16 @@ class Table:
     def count(self) -> int:
         return self.frame().count()
 
+    def recount(self) -> int:
+        """Counts the live rows and corrects the catalog."""
+        self.spec.record_count = self.count()
+        self.save()
+        return self.spec.record_count
+
+    def record(self, rid: int) -> DataFrame:
+        """The row with this _rid, if it lives."""
+        return self.frame().where(F.col(RID) == rid).select(*self.spec.columns)
+
     def _check_column(self, column: str) -> str:
         return self.spec.kind(column)
 
@@ -240,7 +250,12 @@ class Table:
     def insert(self, record: dict[str, Any]) -> int:
         """Appends a row and returns its _rid. In a clustered table it takes the place of the row with its key."""
         row = (*self.coerce(record), rid := self.spec.next_rid)
-        self._append(self.spark.createDataFrame([row], self.spec.schema).coalesce(1), 1, rid + 1, {"kind": "range", "by": None}, sort=False)
+        replaced = 0
+        if self.spec.clustered:
+            key = self.spec.primary_key
+            replaced = self.matching(key, "=", row[list(self.spec.columns).index(key)]).limit(1).count()
+        part = self._write(self.spark.createDataFrame([row], self.spec.schema).coalesce(1), {"kind": "range", "by": None}, 1, sort=False)
+        self._commit([*self.spec.parts, part], 1 - replaced, rid + 1)
         return rid
 
     def insert_frame(self, rows: DataFrame, order: str | None = None) -> int:
@@ -259,10 +274,6 @@ class Table:
         kind = self.spec.kind(c)
         return (K.truncate_bytes(F.col(c).cast("string"), self.spec.size(c)) if kind == "char" else F.col(c).cast(SPARK_TYPES[kind])).alias(c)
 
-    def _append(self, rows: DataFrame, n: int, next_rid: int, layout: dict, sort: bool) -> None:
-        part = self._write(rows, layout, n, sort)
-        self._commit([*self.spec.parts, part], None if self.spec.clustered else n, next_rid)
-
     def _commit(self, parts: list[dict], more: int | None, next_rid: int | None = None) -> None:
         self.spec.parts = parts
         self.spec.next_rid = self.spec.next_rid if next_rid is None else next_rid
@@ -277,7 +288,7 @@ class Table:
         cells = max(1, math.ceil((n if n is not None else self.spec.record_count) / CELL_ROWS))
         if layout["kind"] == "hash":
             layout["buckets"] = max(8, cells)
-            rows.withColumn("_bucket", self._bucket(F.col(layout["by"]), layout["buckets"])).repartition(layout["buckets"], "_bucket").sortWithinPartitions("_bucket", layout["by"]).write.partitionBy("_bucket").parquet(target)
+            rows.withColumn("_bucket", self._bucket(F.col(layout["by"]), layout["buckets"])).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", layout["by"]).write.partitionBy("_bucket").parquet(target)
         elif layout["kind"] == "grid":
             laid, layout = spatial.gridded(rows, layout, max(4, math.isqrt(cells) + 1))
             laid.write.partitionBy("_cx", "_cy").parquet(target)

@@ -98,7 +98,8 @@ def test_clustered_upsert_and_heap_append(spark, tmp_path):
         t.insert({"id": 1, "name": "old"})
         t.insert({"id": 1, "name": "ñandú"})  # cut to four bytes
         assert t.count() == n == t.spec.record_count and rows(t.scan())[-1] == (1, "ñan")
-    assert Table.open(spark, str(tmp_path), "t_btree").count() == 2
+    t = Table.open(spark, str(tmp_path), "t_btree")
+    assert t.count() == t.recount() == 2 and rows(t.record(0)) == [(1, "old")] and rows(t.record(9)) == []
 
 
 def test_many_inserts_compact(spark, tmp_path):
@@ -198,9 +199,17 @@ def test_order_and_upsert(spark, pairs):
     assert {r["k"]: r["v"] for r in changes.newest(df, ["k"], [F.col("i")]).collect()} == dict(pairs)
 
 
-def test_pruning(spark, tmp_path):
+def test_pruning(spark, tmp_path, db):
+    db.mount("numbers", spark.read.parquet(_parquet(spark, tmp_path)), "id")
+    plan = db.explain("SELECT half FROM numbers WHERE id >= 10")
+    assert "GreaterThanOrEqual(id,10)" in plan and "ReadSchema: struct<id:bigint,half:double>" in plan
     t = Table.create(spark, str(tmp_path), "g", {"id": "int", "x": "float", "y": "float"}, primary_key="id", point_columns={"p": ["x", "y"]})
     t.create_index(("x", "y"), "rtree")
     t.insert_frame(spark.range(5000).select(F.col("id"), (F.col("id") % 71).alias("x"), (F.col("id") % 67).alias("y")))
     found = t.near(5, 5, radius=2, point="p")
     assert "PartitionFilters: [isnotnull(_cx" in found._jdf.queryExecution().toString()
+
+
+def _parquet(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id / 2 AS half", "id % 3 AS third").write.parquet(f"{tmp_path}/numbers")
+    return f"{tmp_path}/numbers"
