@@ -25,9 +25,9 @@ _G = (_G ^ _G >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
 GEAR = (_G >> np.uint64(32)).astype(np.uint32)
 
 
-def boundaries(raw: np.ndarray) -> np.ndarray:
-    """Places (one past a byte) where the gear hash of the 32 bytes before has BITS upper zero bits and a character ends."""
-    found = []
+def gear(raw: np.ndarray) -> np.ndarray:
+    """The gear hash of the 32 bytes that end at each byte."""
+    out = np.empty(len(raw), np.uint32)
     for i in range(0, len(raw), AT_ONCE):
         begin = max(0, i - 31)
         h = GEAR[raw[begin : i + AT_ONCE]]
@@ -35,19 +35,22 @@ def boundaries(raw: np.ndarray) -> np.ndarray:
             shifted = h[:-step] << np.uint32(step)
             h = h.copy()
             h[step:] += shifted
-        found.append(np.flatnonzero(h[i - begin :] >> np.uint32(32 - BITS) == 0) + i + 1)
-    at = np.concatenate(found) if found else np.zeros(0, np.int64)
-    at = at[at < len(raw)]
-    return at[raw[at] & 0xC0 != 0x80]
+        out[i : i + AT_ONCE] = h[i - begin :]
+    return out
 
 
 def chunk_ends(raw: np.ndarray) -> list[int]:
+    """Where chunks end: at places (one past a byte, between characters) whose hash has BITS upper zero bits. Where none comes within LONGEST bytes, at the largest hash there,
+    so that these cuts too depend on the text alone; text that repeats a word over and over needs that."""
+    h = gear(raw)
+    at = np.flatnonzero(h >> np.uint32(32 - BITS) == 0) + 1
+    at = at[at < len(raw)]
     ends, last = [], 0
-    for c in [*boundaries(raw).tolist(), len(raw)]:
+    for c in [*at[raw[at] & 0xC0 != 0x80].tolist(), len(raw)]:
         while c - last > LONGEST:
-            last += LONGEST
-            while raw[last] & 0xC0 == 0x80:  # within a character
-                last -= 1
+            places = np.arange(last + SHORTEST, last + LONGEST + 1)
+            places = places[raw[places] & 0xC0 != 0x80]
+            last = int(places[h[places - 1].argmax()])
             ends.append(last)
         if c - last >= SHORTEST or c == len(raw):
             last = c

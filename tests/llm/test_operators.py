@@ -173,13 +173,16 @@ def test_chunks_rejoin_and_resist_shifts(odd_docs):
 
 
 def test_gear_hash_rolls():
-    raw = np.frombuffer(bytes(range(256)) * 9, np.uint8)
-    h, slow = 0, []
-    for i, x in enumerate(raw):
+    raw, h = np.frombuffer(bytes(range(256)) * 9, np.uint8), 0
+    for x, got in zip(raw.tolist(), chunks.gear(raw).tolist(), strict=True):
         h = ((h << 1) + int(chunks.GEAR[x])) & 0xFFFFFFFF
-        if h >> (32 - chunks.BITS) == 0 and i + 1 < len(raw) and raw[i + 1] & 0xC0 != 0x80:
-            slow.append(i + 1)
-    assert chunks.boundaries(raw).tolist() == slow
+        assert h == got
+
+
+def test_cuts_in_text_that_repeats_a_word():
+    raw = [np.frombuffer((start + "de la " * 100).encode(), np.uint8) for start in ("", "x ", "another start: ")]
+    kinds = [{x[s:e].tobytes() for s, e in itertools.pairwise([0, *chunks.chunk_ends(x)])} for x in raw]
+    assert kinds[0] & kinds[1] & kinds[2]
 
 
 def test_passages(spark, odd_docs, no_docs):
