@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.sources.storage import scratch
+from granary.sources.storage import settle
 
 
 def without(rows: DataFrame, condition: Column) -> DataFrame:
@@ -33,10 +33,7 @@ def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds pos, each row's place in a total order, without gathering the rows in one task: ranges are sorted on their own, and only their sizes are summed up."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    context = rows.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
-    numbered = numbered.checkpoint()  # the ranges must not be drawn anew
+    numbered = settle(numbered, "positions")  # the ranges must not be drawn anew
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return numbered.join(F.broadcast(before), "_part").withColumn("pos", F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_n", "_before")

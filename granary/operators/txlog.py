@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.storage import settle
+
 #: Operations that a transaction's flow shows.
 FLOW = ("BEGIN", "SEARCH", "INSERT", "DELETE", "RANGE_SEARCH", "COMMIT", "ABORT", "ERROR")
 SCHEMA = "seq long, ts double, tx_id long, op string, detail string"
@@ -84,7 +86,7 @@ def cycles(edges: DataFrame, depth: int = 40) -> DataFrame:
     steps = 1
     while steps < depth:  # each round doubles the length of the paths that are known
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.holder") == F.col("b.waiter")).select(F.col("a.waiter"), F.col("b.holder"))
-        reach = reach.union(longer).distinct()
+        reach = settle(reach.union(longer).distinct(), "reach")
         steps *= 2
     return reach.where("waiter = holder").select(F.col("waiter").alias("node")).distinct()
 

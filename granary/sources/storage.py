@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -19,6 +19,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to a scratch path and reads it again: what was computed is not computed anew, and outlives executors."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.root = spark._jvm, root.rstrip("/")
