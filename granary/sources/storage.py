@@ -10,13 +10,22 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as a URI: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if "://" not in path:  # as Hadoop's default file system has it
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+        path = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
