@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import parallelism, small_batches, table, texts, to_arrow, workspace
-from granary.llm.tokens import Encoder
+from granary.llm.tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
@@ -120,12 +120,12 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     def run(batches):
         from pyspark import TaskContext
 
-        context, writer, encoder = TaskContext.get(), None, Encoder(vocabulary)
+        context, writer, tokens = TaskContext.get(), None, encoder(vocabulary)
         for b in batches:
-            ids = encoder.encode(b.column(1).to_pylist())
-            writer = writer or ShardWriter(folder, context.partitionId(), context.taskAttemptId(), encoder.dtype, row)
+            ids = tokens.encode(b.column(1).to_pylist())
+            writer = writer or ShardWriter(folder, context.partitionId(), context.taskAttemptId(), tokens.dtype, row)
             for doc_id, x in zip(b.column(0).to_pylist(), ids, strict=True):
-                writer.add(doc_id, np.append(x, encoder.dtype.type(end)))
+                writer.add(doc_id, np.append(x, tokens.dtype.type(end)))
         if writer:
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((context.partitionId(), *writer.close()), out, strict=True)], schema=out)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.llm.common import materialize, small_batches, table, texts, to_arrow
-from granary.llm.tokens import Encoder
+from granary.llm.tokens import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -150,11 +150,11 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capaci
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder, seen = TaskContext.get().partitionId(), Encoder(vocabulary), np.zeros(capacity + 1, np.int64)
+        part, tokens, seen = TaskContext.get().partitionId(), encoder(vocabulary), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, encoder.dtype.type(end)).astype("<u4")
+            for doc_id, ids in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, tokens.dtype.type(end)).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 for k, start in enumerate([0, *range(first, len(ids), capacity)]):
                     n = first if k == 0 else capacity

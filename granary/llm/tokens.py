@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -101,6 +102,12 @@ class Encoder(dict):
         return [np.frombuffer(b"".join(map(self.__getitem__, self.cut(t))), self.dtype) for t in texts]
 
 
+@lru_cache(2)
+def encoder(name: str) -> Encoder:
+    """A worker's encoder: what it keeps serves all tasks that the worker runs."""
+    return Encoder(name)
+
+
 def _byte_letters() -> list[str]:
     """The letter that byte-level models use for each byte: printable bytes stand for themselves, the others follow U+0100 in order."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
