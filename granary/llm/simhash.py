@@ -225,28 +225,55 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def forest(prints: np.ndarray, home: np.ndarray, kind: int, most: int | None) -> list[tuple[int, int]]:
-    """prints: one row for each member, one column for each kind of fingerprint. A spanning forest of the links between members at home and all members, by position."""
-    parent, at_home, out = list(range(len(prints))), np.flatnonzero(home), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    step = max(1, (1 << 20) // len(prints))
-    for i in range(0, len(at_home), step):
-        some = at_home[i : i + step]
-        a, b = np.nonzero(np.bitwise_count(prints[some, kind][:, None] ^ prints[:, kind][None, :]) <= THRESHOLD)
-        a, b = some[a][some[a] != b], b[some[a] != b]
-        if most is not None and len(a):
-            near = np.concatenate([np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1) <= most for x, y in zip(np.array_split(a, 1 + len(a) // 100_000), np.array_split(b, 1 + len(a) // 100_000), strict=True)])
-            a, b = a[near], b[near]
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[p] = q
-                out.append((x, y))
+    """prints: one row for each member of an anchor, one column for each kind of fingerprint -> pairs of positions.
+
+    First a spanning forest of the links between members at home. Then others that share a home elsewhere are taken as joined where they link, since that home returns their
+    forest; and of links from home to others only those are returned that join what is not joined yet. So a dense group gives an anchor about as many pairs as it has homes.
+    """
+    at_home, others, joined_ = np.flatnonzero(home), np.flatnonzero(~home), np.arange(len(prints))
+
+    def linked(x: np.ndarray, y: np.ndarray):
+        step = max(1, (1 << 20) // max(1, len(y)))
+        for i in range(0, len(x), step):
+            a, b = np.nonzero(np.bitwise_count(prints[x[i : i + step], kind][:, None] ^ prints[y, kind][None, :]) <= THRESHOLD)
+            a, b = x[i + a], y[b]
+            for j in range(0, len(a), 1 << 17):
+                u, v = a[j : j + (1 << 17)], b[j : j + (1 << 17)]
+                near = u != v if most is None else (u != v) & (np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1) <= most)
+                if near.any():
+                    yield u[near], v[near]
+
+    def join(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+        """Joins what the links join; those that were needed. Each round hooks every root to a smaller one that it links to."""
+        nonlocal joined_
+        used = []
+        while True:
+            p, q = joined_[u], joined_[v]
+            open_ = p != q
+            if not open_.any():
+                return used
+            u, v, p, q = u[open_], v[open_], p[open_], q[open_]
+            high, first = np.unique(np.maximum(p, q), return_index=True)
+            joined_[high] = np.minimum(p, q)[first]
+            used += zip(u[first].tolist(), v[first].tolist(), strict=True)
+            while (joined_[joined_] != joined_).any():
+                joined_ = joined_[joined_]
+
+    out = []
+    if len(at_home) > 1:
+        for u, v in linked(at_home, at_home):
+            out += join(u, v)
+    if len(at_home) and len(others) > 1:
+        own = homes(prints[others, kind])
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order])) + 1
+        for same in np.split(others[order], cuts):
+            if len(same) > 1:
+                for u, v in linked(same, same):
+                    join(u, v)
+    if len(at_home) and len(others):
+        for u, v in linked(at_home, others):
+            out += join(u, v)
     return out
 
 
