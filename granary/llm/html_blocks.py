@@ -127,17 +127,20 @@ def _slot(word: str, width: int) -> tuple[int, float]:
 def vectors(page: list[tuple[str, list[str], int]]) -> np.ndarray:
     """One row for each block: hashed tag path, hashed words (whole text), counts."""
     out = np.zeros((len(page), WIDTH), np.float32)
+    paths: dict[tuple[str, ...], np.ndarray] = {}
     for k, (text, path, linked) in enumerate(page):
-        for depth, name in enumerate(path):
-            at, sign = _slot(name, PATHS)
-            out[k, at] += sign
-            if depth >= len(path) - 2:
-                at, sign = _slot("." + name, PATHS)
-                out[k, at] += 0.5 * sign
-        words = text.lower().split()
-        for w in words:
-            at, sign = _slot(w, WORDS)
-            out[k, PATHS + at] += sign / len(words) ** 0.5
+        seen = paths.get(key := tuple(path))
+        if seen is None:
+            seen = paths[key] = np.zeros(PATHS, np.float32)
+            for depth, name in enumerate(path):
+                at, sign = _slot(name, PATHS)
+                seen[at] += sign
+                if depth >= len(path) - 2:
+                    at, sign = _slot("." + name, PATHS)
+                    seen[at] += 0.5 * sign
+        out[k, :PATHS] = seen
+        words = np.fromiter(map(zlib.crc32, text.lower().encode().split(b" ")), np.uint32)
+        out[k, PATHS : PATHS + WORDS] = np.bincount(words % WORDS, weights=(words >> 16 & 1) * 2.0 - 1, minlength=WORDS) / len(words) ** 0.5
         n = len(text)
         marks = sum(text.count(c) for c in ".!?;:,")
         out[k, PATHS + WORDS :] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, linked / n, marks / len(words), text[-1] in ".!?:;\"'", text[0].isupper(), k / len(page), 1.0)
@@ -148,23 +151,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hidden states over the rows of x; gates in the order input, forget, output, candidate."""
-    size = u.shape[0]
-    ahead, h, c = x @ w + b, np.zeros(size, np.float32), np.zeros(size, np.float32)
-    out = np.zeros((len(x), size), np.float32)
-    for t in range(len(x)):
-        z = ahead[t] + h @ u
-        gates = sigmoid(z[: 3 * size])
-        c = gates[size : 2 * size] * c + gates[:size] * np.tanh(z[3 * size :])
-        h = gates[2 * size :] * np.tanh(c)
-        out[t] = h
-    return out
-
-
 class Labeller:
+    """Both directions of the LSTM run as one: their gates stand side by side (input, forget, output, candidate), their recurrent weights in two blocks. Weights of sigmoid
+    gates are halved, since sigmoid(x) = (1 + tanh(x / 2)) / 2, so that one tanh serves all gates of a step."""
+
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights = weights
+        self.weights = w = weights
+        half = np.repeat([0.5, 0.5, 0.5, 1.0], HIDDEN).astype(np.float32)
+        both = lambda f, b: np.concatenate([x for g in range(4) for x in (f[..., g * HIDDEN : (g + 1) * HIDDEN], b[..., g * HIDDEN : (g + 1) * HIDDEN])], axis=-1)
+        none = np.zeros((HIDDEN, 4 * HIDDEN), np.float32)
+        self.ahead = [(w["w" + k] * half, w["b" + k] * half) for k in "fb"]
+        self.recurrent = np.vstack([both(w["uf"] * half, none), both(none, w["ub"] * half)])
+        self._both = both
 
     @classmethod
     def load(cls) -> Labeller:
@@ -175,11 +173,21 @@ class Labeller:
         with np.load(io.BytesIO(raw)) as stored:
             return cls({k: stored[k].astype(np.float32) for k in stored.files})
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """Hidden states of both directions for each row of x."""
+        (wf, bf), (wb, bb) = self.ahead
+        z, n = self._both(x @ wf + bf, x[::-1] @ wb + bb), 2 * HIDDEN
+        h, c, out = np.zeros(n, np.float32), np.zeros(n, np.float32), np.zeros((len(x), n), np.float32)
+        for t in range(len(x)):
+            g = np.tanh(z[t] + h @ self.recurrent)
+            gates = 0.5 * g[: 3 * n] + 0.5
+            c = gates[n : 2 * n] * c + gates[:n] * g[3 * n :]
+            h = out[t] = gates[2 * n :] * np.tanh(c)
+        return np.hstack([out[:, :HIDDEN], out[::-1, HIDDEN:]])
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Log-odds that each block is main text."""
-        w = self.weights
-        both = np.hstack([lstm(x, w["wf"], w["uf"], w["bf"]), lstm(x[::-1], w["wb"], w["ub"], w["bb"])[::-1]])
-        return both @ w["v"] + w["c"]
+        return self.states(x) @ self.weights["v"] + self.weights["c"]
 
     def main_text(self, html: str) -> str:
         page = blocks(html)
