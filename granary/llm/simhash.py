@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, parallelism, per_row, small_batches, table, texts
+from granary.llm.common import materialize, parallelism, per_row, small_batches, table, texts, to_arrow
 from granary.llm.graph import components
 
 THRESHOLD = 3
@@ -31,8 +31,10 @@ SEED = 42
 #: An anchor with more replicas than this is dealt to several tasks.
 HOT_ANCHOR = 20_000
 
-#: Near-duplicates: words in a shingle, least similarity, fingerprints over the set of words, and bits in which all fingerprints of a candidate pair may differ together.
-NEAR_SHINGLE, SIMILARITY, WORD_PRINTS, CANDIDATE_BITS = 5, 0.8, 8, 96
+#: Near-duplicates: words in a shingle and least similarity (postings() has it as 4 / 5).
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: One text of so many tells which shingles are frequent; so many of those are known at most. Rounds of one link for each posting before all pairs are tested.
+SAMPLED, FREQUENT, ROUNDS = 16, 500_000, 8
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -294,21 +296,12 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return prints.join(of_class, "fp").select("doc_id", "row_key", "fp", "component_id")  # a hot fingerprint's rows are split by adaptive execution
 
 
-def word_prints(text: str) -> tuple[int, list[int]]:
-    """Hash of the words in order, lower-cased; WORD_PRINTS fingerprints over the set of words, each with hashes of its own, and the one of shingles; signed longs."""
+def text_key(text: str) -> int:
+    """Hash of the words in order, A-Z lower-cased, as a signed long."""
     from xxhash import xxh3_64_intdigest
 
-    words = text.encode().translate(_LOWER).split()
-    h = np.fromiter(map(xxh3_64_intdigest, set(words)), np.uint64)
-    prints = np.zeros(WORD_PRINTS + 1, np.uint64)
-    for k in range(WORD_PRINTS if len(h) else 0):
-        z = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
-        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        prints[k] = majority(z ^ z >> np.uint64(31))
-    prints[WORD_PRINTS] = fingerprint(text)
-    key = np.array([xxh3_64_intdigest(b" ".join(words))], np.uint64)
-    return int(key.view(np.int64)[0]), prints.view(np.int64).tolist()
+    key = np.array([xxh3_64_intdigest(b" ".join(text.encode().translate(_LOWER).split()))], np.uint64)
+    return int(key.view(np.int64)[0])
 
 
 def shingle_set(text: str) -> list[int]:
@@ -320,33 +313,108 @@ def shingle_set(text: str) -> list[int]:
     return np.unique(np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64)).view(np.int64).tolist()
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, group), one row for each row of docs: near-duplicates (Jaccard similarity of NEAR_SHINGLE-word shingles of SIMILARITY or more) share a group.
+def frequent(single: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that come again in a sample of the texts, and how many of those texts hold each. They only order shingles; any order gives the same groups."""
+    sample = single.where(F.pmod(F.xxhash64("row_key"), F.lit(SAMPLED)) == 0)
+    held = per_row(sample, "shingles array<long>", lambda: lambda text: (shingle_set(text),), "text")
+    counted = held.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    got = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).orderBy("key").toArrow()
+    return got["key"].to_numpy(), got["n"].to_numpy()
 
-    One fingerprint at THRESHOLD bits finds few texts that are only so much alike, so candidates are links of any of WORD_PRINTS fingerprints over the set of words, or of the one
-    over shingles, whose fingerprints together differ in CANDIDATE_BITS bits or fewer. Candidates are then checked exactly, and groups are the components of those that
-    pass. Texts that are equal but for A-Z case and white space are one from the start; so are null, empty and blank ones. Rows with null or repeated doc_ids each come back.
-    """
-    kinds = [f"s{k}" for k in range(WORD_PRINTS + 1)]
 
-    def make():
-        def one(doc_id, row_key, text):
-            key, prints = word_prints(text)
-            return doc_id, row_key, key, *prints
+def postings(single: DataFrame) -> DataFrame:
+    """key, id, n, at: the first shingles of every text, rare ones first. n: shingles of the text; at: the place of this one, from 1.
 
-        return one
+    Two sets of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 of either in any order that is the same for all (prefix filter)."""
+    spark = single.sparkSession
+    usual = spark.sparkContext.broadcast(frequent(single))
+    small_batches(spark)
+    ddl = "key long, id long, n int, at int"
+    out = to_arrow(spark, ddl)
 
+    def run(batches):
+        hashes, counts = usual.value
+        for b in batches:
+            found = []
+            for text in b.column(0).to_pylist():
+                h = np.array(shingle_set(text), np.int64)
+                if len(h):
+                    n = np.zeros(len(h), np.int64)
+                    if len(hashes):
+                        i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                        n = np.where(hashes[i] == h, counts[i], 0)
+                    first = h[np.lexsort((h, n))[: len(h) - -(-4 * len(h) // 5) + 1]]
+                    found.append((first, np.full(len(first), text_key(text)), np.full(len(first), len(h)), np.arange(1, len(first) + 1)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+
+    return single.select("text").mapInArrow(run, ddl)
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by key and id, those whose key another id has too, each once."""
+    last, was = None, False  # the row that waits for the next one; whether it shares its key with the row before
+    for b in batches:
+        b = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks().to_batches()[0] if len(b) else b
+        if not len(b):
+            continue
+        key, own = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+        b, key = b.filter(pa.array(new)), key[new]
+        same = key[1:] == key[:-1]
+        before = np.concatenate([[was], same])
+        yield b.slice(0, len(b) - 1).filter(pa.array(before[:-1] | same))
+        last, was = b.slice(len(b) - 1), bool(before[-1])
+    if was:
+        yield last
+
+
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, group), one row for each row of docs: near-duplicates (Jaccard similarity of NEAR_SHINGLE-word shingles of SIMILARITY or more) share a group.
+
+    Exact: groups are the components of all pairs that are so similar. Every such pair meets at a posting (see there). Each round links the texts of a posting to one of them, checks
+    these links exactly and joins those that pass, so that a dense group costs as many rows as it has postings; at last all pairs that meet in different groups, whose sizes and places let
+    them be similar, are checked. Texts that are equal but for A-Z case and white space are one from the start; so are null, empty and blank ones. Rows with null or
+    repeated doc_ids each come back.
+    """
     rows = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    prints = materialize(per_row(rows, "doc_id long, row_key long, id long, " + ", ".join(f"{k} long" for k in kinds), make, "doc_id", "row_key", "text"), "prints")
-    classes = materialize(prints.groupBy("id").agg(F.min("row_key").alias("row_key"), *(F.first(k).alias(k) for k in kinds)), "classes")
-    candidates = materialize(links(classes.select("id", *kinds), CANDIDATE_BITS).distinct(), "candidates")
-    named = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(classes.select("id", "row_key"), "id")
-    held = rows.join(named, "row_key").select("id", "text")
-    sets = materialize(per_row(held, "id long, shingles array<long>", lambda: lambda key, text: (key, shingle_set(text)), "id", "text").dropDuplicates(["id"]), "shingles")
-    pairs = candidates.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    alike = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= SIMILARITY
-    roots = materialize(components(pairs.where(alike).select("u", "v")), "roots")
-    return prints.select("doc_id", "row_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("group"))
+    keys = materialize(per_row(rows, "doc_id long, row_key long, id long", lambda: lambda doc_id, row_key, text: (doc_id, row_key, text_key(text)), "doc_id", "row_key", "text"), "keys")
+    classes = materialize(keys.groupBy("id").agg(F.min("row_key").alias("first")), "classes")
+    copies = materialize(keys.join(classes, "id").where("row_key <> first").select("row_key").distinct(), "copies")
+    single = rows.join(copies, "row_key", "left_anti")
+    dealt = postings(single)
+    dealt = dealt.repartition(parallelism(dealt), "key").sortWithinPartitions("key", "id")
+    met = materialize(dealt.mapInArrow(shared, "key long, id long, n int, at int"), "met")
+    n_met = met.count()
+
+    named = materialize(met.select("id").distinct().join(classes, "id").select(F.col("first").alias("row_key")), "named")
+    held = rows.join(named, "row_key", "left_semi")
+    sets = materialize(per_row(held, "id long, shingles array<long>", lambda: lambda text: (text_key(text), shingle_set(text)), "text").dropDuplicates(["id"]), "shingles")
+
+    may = (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")) & (9 * (1 + F.least(F.expr("a.n - a.at"), F.expr("b.n - b.at"))) >= 4 * F.expr("a.n + b.n"))
+
+    def alike(x: DataFrame, y: DataFrame) -> DataFrame:
+        """(u, v): what meets of x and y in different groups and is similar."""
+        both = x.alias("a").join(y.alias("b"), "key").where(F.expr("a.group <> b.group") & may)
+        pairs = materialize(both.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct(), "pairs")
+        tested = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+        return tested.where(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= SIMILARITY).select("u", "v")
+
+    now, edges = met.withColumn("group", F.col("id")), None
+    for turn in range(ROUNDS):
+        hubs = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "at", "group"), F.xxhash64("id", F.lit(turn))).alias("h")).select("key", "h.*")
+        found = alike(now, hubs)
+        edges = materialize(found if edges is None else edges.union(found), "alike")
+        roots = materialize(components(edges), "roots")
+        now = materialize(met.join(roots.toDF("id", "root"), "id", "left").select(*met.columns, F.coalesce("root", "id").alias("group")), "now")
+        sizes = materialize(now.groupBy("key", "group").agg(F.count("*").alias("m")), "sizes")
+        left = sizes.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        if left <= n_met:
+            break
+    most = sizes.groupBy("key").agg(F.max_by("group", F.struct("m", "group")).alias("most"))  # of two groups one is not the largest
+    rest = materialize(now.join(most, "key").where("group <> most").select(now.columns), "rest")
+    roots = materialize(components(edges.union(alike(rest, now))), "roots")
+    return keys.join(roots.toDF("id", "root"), "id", "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("group"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

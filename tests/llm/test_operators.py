@@ -511,3 +511,19 @@ def test_near_duplicates_of_edits(spark):
     near = [i for i in range(60) if want[2 * i] == want[2 * i + 1]]
     assert len(near) == 30 and sum(got[2 * i] == got[2 * i + 1] for i in near) >= 29
     assert len(set(got.values())) == 120 - sum(got[2 * i] == got[2 * i + 1] for i in near)
+
+
+def test_near_duplicates_of_cut_and_appended_tails(spark):
+    r = random.Random(21)
+    vocabulary = [f"{a}{b}{c}" for a in "ba do ke li mu".split() for b in "na ter mos lin".split() for c in "s e ing ar".split()]
+    rows = []
+    for i in range(80):
+        words = r.choices(vocabulary, k=250)
+        rows.append((2 * i, " ".join(words)))
+        n = r.randint(8, 70)
+        rows.append((2 * i + 1, " ".join(words[:-n] if i % 2 else words + r.choices(vocabulary, k=n))))
+    got = {x["doc_id"]: x["group"] for x in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = slow_groups([t for _, t in rows])
+    assert 60 < sum(want[2 * i] == want[2 * i + 1] for i in range(80)) < 80
+    assert [got[2 * i] == got[2 * i + 1] for i in range(80)] == [want[2 * i] == want[2 * i + 1] for i in range(80)]
+    assert len(set(got.values())) == len(set(want))
