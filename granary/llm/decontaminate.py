@@ -2,7 +2,7 @@
 
 A seed is a fixed mask over consecutive words: the words at its ones are hashed, those at its zeros may be anything. Seeds of documents and of benchmark items are
 joined; a hit names a document, an item and a diagonal (the offset of one in the other). Around every hit the two texts are compared word by word along the
-diagonal, and the overlap is the stretch that scores best when a mismatch costs four matches, so that it tolerates one substitution in five words.
+diagonal, and the overlap is the stretch of LEAST_WORDS or more that scores best when a mismatch costs four matches, so that it tolerates one substitution in five words.
 """
 
 from __future__ import annotations
@@ -37,20 +37,25 @@ def seeds(hashes: str, masks: tuple[str, ...]) -> Column:
     return F.concat(*(of(m) for m in masks))
 
 
-def overlap() -> Column:
-    """(first, words, equal) of the best stretch of the array `same`; first counts from 0."""
-    state = F.struct(*(F.lit(0).alias(c) for c in ("at", "begin", "score", "equal", "best", "first", "words", "best_equal")))
+def overlap(least: Column) -> Column:
+    """(score, first, words) of the best stretch of `least` or more words of the array `same`; first counts from 0; a score under 0: none has SIMILARITY.
+
+    Sums of +1 and -4 from the start: a stretch scores the sum at its end less the one at its start, and the lowest sum that is `least` words behind is kept along.
+    """
+    worth = lambda equal: F.when(equal, F.lit(1)).otherwise(F.lit(-4))
+    state = F.struct(*(F.lit(x).alias(c) for c, x in {"at": 0, "sum": 0, "behind": 0, "low": 0, "low_at": 0, "best": -1, "first": 0, "words": 0}.items()))
 
     def step(s: Column, equal: Column) -> Column:
-        fresh = s["score"] <= 0
-        begin = F.when(fresh, s["at"]).otherwise(s["begin"])
-        score = F.when(fresh, F.lit(0)).otherwise(s["score"]) + F.when(equal, F.lit(1)).otherwise(F.lit(-4))
-        n_equal = F.when(fresh, F.lit(0)).otherwise(s["equal"]) + F.when(equal, F.lit(1)).otherwise(F.lit(0))
-        better = score > s["best"]
+        at, total = s["at"] + 1, s["sum"] + worth(equal)
+        back = at - least
+        behind = F.when(back > 0, s["behind"] + worth(F.get(F.col("same"), back - 1))).otherwise(F.lit(0))
+        lower = (back > 0) & (behind <= s["low"])
+        low, low_at = F.when(lower, behind).otherwise(s["low"]), F.when(lower, back).otherwise(s["low_at"])
+        better = (back >= 0) & (total - low > s["best"])
         keep = lambda new, old: F.when(better, new).otherwise(s[old]).alias(old)
-        return F.struct((s["at"] + 1).alias("at"), begin.alias("begin"), score.alias("score"), n_equal.alias("equal"), keep(score, "best"), keep(begin, "first"), keep(s["at"] + 1 - begin, "words"), keep(n_equal, "best_equal"))
+        return F.struct(at.alias("at"), total.alias("sum"), behind.alias("behind"), low.alias("low"), low_at.alias("low_at"), keep(total - low, "best"), keep(low_at, "first"), keep(at - low_at, "words"))
 
-    return F.aggregate("same", state, step, lambda s: F.struct(s["first"].alias("first"), s["words"].alias("words"), s["best_equal"].alias("equal")))
+    return F.aggregate("same", state, step, lambda s: F.struct(s["best"].alias("score"), s["first"].alias("first"), s["words"].alias("words")))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -81,14 +86,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     length = F.least(F.size("words") - start, F.size("item") - skipped)
     same = F.zip_with(F.slice("words", start + 1, length), F.slice("item", skipped + 1, length), lambda a, b: a == b)
     found = found.select("doc_id", "row_key", "item_id", F.size("item").alias("item_words"), start.alias("start"), same.alias("same"))
-    found = found.withColumn("whole", F.size(F.filter("same", lambda x: x))).withColumn("o", overlap())
+    least = F.least(F.lit(LEAST_WORDS), "item_words")
+    found = found.withColumn("whole", F.size(F.filter("same", lambda x: x))).where(F.col("whole") >= SIMILARITY * least)  # fewer equal words suffice for no stretch
+    found = materialize(found, "aligned").withColumn("o", overlap(least))
     whole = F.col("whole") >= SIMILARITY * F.col("item_words")
-    part = (F.col("o.words") >= F.least(F.lit(LEAST_WORDS), "item_words")) & (F.col("o.equal") >= SIMILARITY * F.col("o.words"))
+    part = F.col("o.score") >= 0
     found = found.where(whole | part).select(
         "doc_id", "row_key", "item_id",
         F.when(whole, F.col("start")).otherwise(F.col("start") + F.col("o.first")).alias("doc_start"),
         F.when(whole, F.size("same")).otherwise(F.col("o.words")).alias("n_words"),
-        F.when(whole, F.col("whole")).otherwise(F.col("o.equal")).alias("n_equal"), "item_words",
+        F.when(whole, F.col("whole")).otherwise(((F.col("o.score") + 4 * F.col("o.words")) / 5).cast("int")).alias("n_equal"), "item_words",
     )
     best = F.max_by(F.struct("doc_start", "n_words", "n_equal"), F.struct("n_equal", -F.col("n_words"), -F.col("doc_start")))
     found = found.groupBy("doc_id", "row_key", "item_id", "item_words").agg(best.alias("b"))

@@ -149,6 +149,29 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.overlaps(twice, bench).count() in (6, 12) and decontaminate.decontaminate(twice, bench).count() == 6
 
 
+def test_changed_parts_against_brute_force(spark):
+    r, texts = random.Random(8), []
+    item = [f"i{k}" for k in range(40)]
+    for n, gone in ((13, 1), (13, 2), (13, 3), (15, 1), (15, 2), (20, 2), (20, 3), (20, 5), (25, 3)):
+        for _ in range(15):
+            s, places = r.randrange(40 - n), set(r.sample(range(n), gone))
+            part = ["x" if k in places else w for k, w in enumerate(item[s : s + n])]
+            texts.append([f"f{r.random()}" for _ in range(9)] + part + [f"g{r.random()}" for _ in range(9)])
+    want = {}
+    for doc_id, words in enumerate(texts):
+        at = next(k - item.index(w) for k, w in enumerate(words) if w in item)
+        same = [0 <= k - at < 40 and w == item[k - at] for k, w in enumerate(words)]
+        spans = [(i, j) for i in range(max(0, at), len(words)) for j in range(i + 13, min(len(words), at + 40) + 1) if sum(same[i:j]) >= 0.8 * (j - i)]
+        if spans:
+            want[doc_id] = max(5 * sum(same[i:j]) - 4 * (j - i) for i, j in spans)
+    docs = spark.createDataFrame([(i, " ".join(w).replace(".", "")) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert 100 < len(want) < len(texts) and {x["doc_id"]: 5 * x["n_equal"] - 4 * x["n_words"] for x in found} == want
+    for x in found:
+        words = texts[x["doc_id"]][x["doc_start"] : x["doc_start"] + x["n_words"]]
+        assert x["n_words"] >= 13 and x["n_equal"] == sum(w in item for w in words)
+
+
 def test_decontamination_plan_is_native(some_docs, spark):
     plan = decontaminate.overlaps(some_docs, spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
