@@ -550,3 +550,21 @@ def test_near_duplicates_of_cut_and_appended_tails(spark):
     assert 60 < sum(want[2 * i] == want[2 * i + 1] for i in range(80)) < 80
     assert [got[2 * i] == got[2 * i + 1] for i in range(80)] == [want[2 * i] == want[2 * i + 1] for i in range(80)]
     assert len(set(got.values())) == len(set(want))
+
+
+def test_near_duplicates_through_weak_links(spark):
+    """Copies on both sides of the least similarity: a link that fails must not stand for one that holds."""
+    r = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in "ba do ke li mu".split() for b in "na ter mos lin".split() for c in "s e ing ar".split()]
+    made = []
+    for _ in range(15):
+        base = r.choices(vocabulary, k=200)
+        for _ in range(6):
+            words = list(base)
+            for p in r.sample(range(200), r.randint(2, 6)):
+                words[p] = r.choice(vocabulary)
+            made.append(" ".join(words))
+    got = {x["doc_id"]: x["group"] for x in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    want = slow_groups(made)
+    assert 15 < len(set(want)) < 90
+    assert len(set(got.values())) == len(set(want)) == len({(got[i], w) for i, w in enumerate(want)})
