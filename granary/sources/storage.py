@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from typing import Any
 
@@ -11,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as a URI: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share, as a URI: spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own (one machine runs everything), and a
+    cluster an error, since its machines see no folder in common."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="granary-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file:///tmp/granary-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
     if "://" not in path:  # as Hadoop's default file system has it
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -32,7 +34,17 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to a scratch path and reads it again: what was computed is not computed anew, and outlives executors."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._settled_at = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what settle() wrote for these frames; nothing may read them, or frames made of them, any more."""
+    for df in frames:
+        if path := getattr(df, "_settled_at", None):
+            there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
 class Files:
