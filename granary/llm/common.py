@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.storage import scratch, settle
+from granary.sources.storage import discard, scratch, settle  # noqa: F401
 
 #: Rows and bytes of one Arrow batch. Both bound what a Python worker holds at once.
 BATCH_ROWS = 512
@@ -57,6 +57,20 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def row_key() -> Column:
+    """128 bits that tell rows with other doc_ids or texts apart; a null doc_id is unlike any number, a null text is like an empty one."""
+    doc_id, text = F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")
+    return F.unhex(F.md5(F.encode(F.concat(F.coalesce(doc_id, F.lit("-")), F.lit(" "), F.coalesce(text, F.lit(""))), "UTF-8")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as df needs to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def per_row(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]], *cols: str) -> DataFrame:
     """One output row for each input row. make() runs once for each task and returns a function of the columns' values."""
     from pyspark.sql.types import StructType

@@ -6,10 +6,12 @@ Anchors: the first 46 bits of a fingerprint are two 23-bit blocks. The binary Go
 word lies within 3 bits of exactly one codeword (covering radius 3, a perfect code). A pair of codewords is an anchor, and
 the nearest pair is a fingerprint's home. If two fingerprints differ in d <= 3 bits, then the home of one lies, in the two
 blocks together, within radius plus d of the other. So every fingerprint is replicated to all anchors within radius plus
-threshold, counted by block, and is compared there with those at home: no link can be missed. There are 2**24 anchors at
-any input size. Two bitmaps of what is at home (2 MB each, constants) spare replicas that nobody can meet: one holds the
-occupied anchors; the other holds them together with the 18 bits outside the blocks, since a replica that is beyond the radius by
-3 can only link if those bits are all equal, and one beyond it by 2 if either half of them is.
+threshold, counted by block, and is compared there with those at home: no link can be missed.
+
+The 18 bits outside the blocks make cells of an anchor: a replica that is beyond the radius by 3 can only link if those bits are all equal, one beyond it by 2 only if either
+half of them is. So there are four kinds of cell: an anchor; an anchor with the lower half; with the upper half; with all 18 bits. A fingerprint at home stands in one of each
+kind, a replica in those that its distance asks for. A bitmap of the cells that are somebody's home spares replicas that nobody can meet; its size follows the number of
+fingerprints up to MOST_BITS, and a full bitmap costs replicas, never links. A cell of many members is cut into blocks, and pairs of blocks go to tasks.
 """
 
 from __future__ import annotations
@@ -22,19 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, parallelism, per_row, small_batches, table, texts, to_arrow
+from granary.llm.common import discard, materialize, parallelism, per_row, small_batches, table, texts
 from granary.llm.graph import components
 
 THRESHOLD = 3
 SHINGLE = 3
 SEED = 42
-#: An anchor with more replicas than this is dealt to several tasks.
-HOT_ANCHOR = 20_000
-
-#: Near-duplicates: words in a shingle and least similarity (postings() has it as 4 / 5).
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: One text of so many tells which shingles are frequent; so many of those are known at most. Rounds of one link for each posting before all pairs are tested.
-SAMPLED, FREQUENT, ROUNDS = 16, 500_000, 8
+#: A cell with more members is cut into blocks of about so many.
+HOT_CELL = 20_000
+#: Bits of the bitmap for each fingerprint, and of all of it at least and at most (powers of two; at most 32 MB are sent to each executor).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -62,16 +61,16 @@ def majority(h: np.ndarray) -> np.uint64:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_key, fp): fp as a signed long; row_key is a hash of doc_id and text."""
+    """(doc_id, fp): fp as a signed long."""
 
     def make():
-        def one(doc_id, row_key, text):
+        def one(doc_id, text):
             fp = fingerprint(text, size)
-            return doc_id, row_key, fp - (1 << 64) if fp >> 63 else fp
+            return doc_id, fp - (1 << 64) if fp >> 63 else fp
 
         return one
 
-    return per_row(texts(docs), "doc_id long, row_key long, fp long", make, "doc_id", F.xxhash64("doc_id", "text"), "text")
+    return per_row(texts(docs), "doc_id long, fp long", make, "doc_id", "text")
 
 
 @lru_cache(1)
@@ -119,88 +118,98 @@ def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield row[r], (ha[row[r]] ^ na[row[r], i]) << 12 | (hb[row[r]] ^ nb[row[r], j]), ca[row[r], i] + cb[row[r], j]
 
 
-def rest_keys(fp: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
-    """Bits of the second bitmap: anchor with all 18 remaining bits, with their lower half, with their upper half."""
-    rest = fp >> np.uint64(46)
-    parts = rest, rest & np.uint64(511) | np.uint64(1 << 20), rest >> np.uint64(9) | np.uint64(1 << 21)
-    return [(((anchor.astype(np.uint64) << np.uint64(24) ^ x) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) for x in parts]
+def cells(fp: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
+    """The cell of each kind, as a number: anchor, kind, and the bits outside the blocks that the kind looks at."""
+    rest = (fp >> np.uint64(46)).astype(np.int64)
+    return [anchor << 20 | kind << 18 | part for kind, part in enumerate((0 * rest, rest & 511, rest >> 9, rest))]
 
 
-class Bitmaps:
-    """What is at home: 2**24 bits for anchors, then 2**24 for anchors with remaining bits."""
+def bit_of(cell: np.ndarray, bits: int) -> np.ndarray:
+    return ((cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
 
-    def has(self, bit: np.ndarray) -> np.ndarray:
-        return (self.words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+def homes_bitmap(prints: DataFrame, bits: int) -> np.ndarray:
+    """Which cells are somebody's home. The driver receives the words that are not zero, bits / 64 at most."""
 
-    def may_meet(self, fp: np.ndarray, anchor: np.ndarray, cost: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.has(anchor))
-        whole, low, high = (self.has(k + (1 << 24)) for k in rest_keys(fp[at], anchor[at]))
-        return at[np.select([cost[at] >= 3, cost[at] == 2], [whole, low | high], True)]
+    def run(batches):
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            bit = np.concatenate([bit_of(c, bits) for c in cells(fp, homes(fp))])
+            word, at = np.unique(bit >> 6, return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, at, np.uint64(1) << (bit & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value).view(pa.int64())], ["w", "b"])
 
+    found = prints.mapInArrow(run, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return words
 
-def links(classes: DataFrame, most: int | None = None) -> DataFrame:
-    """id long, s0, s1, ... long, each id once -> (u, v), pairs of ids.
 
-    Two ids link if one of their fingerprints s0, s1, ... differs in THRESHOLD bits or fewer; with `most`, all of them together must not differ in more bits than that. The
-    pairs returned join the same ids as all links do: within an anchor they are a spanning forest of its links, so that a dense group costs as many rows as it has members.
-    An anchor with many replicas is dealt to several tasks: each replica goes to one, those at home to all.
+def links(prints: DataFrame) -> DataFrame:
+    """fp long, each once -> (u, v), pairs of fingerprints that differ in THRESHOLD bits or fewer.
+
+    The pairs returned join the same fingerprints as all links do: within a cell they are a spanning forest of its links, so that a dense group costs as many rows as it has
+    members. A cell of more than HOT_CELL members is cut into blocks; a task compares two blocks, and each member goes to as many tasks as there are blocks to meet.
     """
-    spark, kinds = classes.sparkSession, len(classes.columns) - 1
+    spark = prints.sparkSession
     small_batches(spark)
-    words = np.zeros((kinds, 1 << 19), np.uint64)
-    for k in range(kinds):  # one at a time: each is 4 MB at most when it arrives
-        set_bits = classes.select(f"s{k}").mapInArrow(_home_bits, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
-        words[k, set_bits["w"].to_numpy()] = set_bits["b"].to_numpy().view(np.uint64)
-    bitmaps = spark.sparkContext.broadcast(words)
-    names = ["k", "anchor", "home", "id", *(f"s{k}" for k in range(kinds))]
+    prints = prints.select("fp")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, prints.count())).bit_length()))
+    bitmap = spark.sparkContext.broadcast(homes_bitmap(prints, bits))
 
     def replicate(batches):
-        there = [Bitmaps(w) for w in bitmaps.value]
+        words = bitmap.value
         for b in batches:
-            for k in range(kinds):
-                fp = b.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64)
-                own, kept = homes(fp), []
-                for row, anchor, cost in anchors(fp):
-                    met = there[k].may_meet(fp[row], anchor, cost)
-                    kept.append((row[met], anchor[met]))
-                if kept:
-                    row, anchor = (np.concatenate(x) for x in zip(*kept, strict=True))
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(anchor), pa.array(own[row] == anchor), *(c.take(at) for c in b.columns)], names)
-
-    ddl = "k int, anchor long, home boolean, id long, " + ", ".join(f"s{k} long" for k in range(kinds))
-    replicas = materialize(classes.mapInArrow(replicate, ddl), "replicas")
-    counted = replicas.groupBy("k", "anchor").agg(F.count("*").alias("n"))
-    hot = materialize(counted.where(F.col("n") > HOT_ANCHOR).select("k", "anchor", F.ceil(F.col("n") / HOT_ANCHOR).cast("int").alias("salts")), "hot")
-    salted = replicas.join(hot, ["k", "anchor"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    one = F.pmod(F.xxhash64("id"), "salts").cast("int")
-    salted = salted.select(*names, F.explode(F.when(F.col("home") & (F.col("salts") > 1), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(one))).alias("salt"))
-    dealt = salted.repartition(parallelism(replicas), "k", "anchor", "salt").sortWithinPartitions("k", "anchor", "salt")
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            own = homes(fp)
+            found = [(c, np.arange(len(fp)), True) for c in cells(fp, own)]
+            for row, anchor, cost in anchors(fp):
+                of = cells(fp[row], anchor)
+                for kind, wanted in enumerate((cost <= 1, cost == 2, cost == 2, cost >= 3)):
+                    cell = of[kind][wanted]
+                    bit = bit_of(cell, bits)
+                    met = (words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                    met &= own[row[wanted]] != anchor[wanted]
+                    found.append((cell[met], row[wanted][met], False))
+            cell, row = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            home = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), b.column(0).take(pa.array(row))], ["cell", "home", "fp"])
+
+    replicas = materialize(prints.mapInArrow(replicate, "cell long, home boolean, fp long"), "replicas")
+    blocks = lambda home: F.ceil(F.count_if(F.col("home") == home) / HOT_CELL).cast("int")
+    hot = replicas.groupBy("cell").agg(F.count("*").alias("n"), blocks(True).alias("own"), blocks(False).alias("others")).where(F.col("n") > HOT_CELL).drop("n")
+    hot = materialize(hot, "hot")
+    # tasks of a hot cell: i * (own + others) + j for block i at home and block j, those at home first and, among them, i <= j
+    at = F.pmod(F.xxhash64("fp"), F.greatest(F.when(F.col("home"), F.col("own")).otherwise(F.col("others")), F.lit(1))).cast("int")
+    width = F.col("own") + F.col("others")
+    upto = lambda first, last, task: F.transform(F.filter(F.sequence(F.lit(0), width), lambda i: (i >= first) & (i < last)), task)
+    of_home = F.concat(upto(F.lit(0), F.col("at"), lambda i: i * width + F.col("at")), upto(F.col("at"), width, lambda j: F.col("at") * width + j))
+    of_other = upto(F.lit(0), F.col("own"), lambda i: i * width + F.col("own") + F.col("at"))
+    task = F.when(F.col("own").isNull(), F.array(F.lit(0))).when(F.col("home"), of_home).otherwise(of_other)
+    split = replicas.join(hot, "cell", "left").withColumn("at", at).select("cell", F.explode(task).alias("task"), "home", "fp")
+    dealt = split.repartition(parallelism(replicas), "cell", "task").sortWithinPartitions("cell", "task")
 
     def compare(batches):
-        """One kind, anchor and salt at a time."""
+        """One cell and task at a time."""
         key, parts, found = None, [], []
 
         def close():
             if sum(map(len, parts)) > 1:
                 rows = np.concatenate(parts)
-                pairs = forest(rows[:, 2:].view(np.uint64), rows[:, 0] > 0, key[0], most)
-                found.extend((rows[x, 1], rows[y, 1]) for x, y in pairs)
+                if (rows[:, 0] > 0).any():
+                    found.extend(forest(rows[:, 1].view(np.uint64), rows[:, 0] > 0, key[0] >> 18 & 3 == 0))
             parts.clear()
 
         for b in batches:
-            k, anchor, home, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            salt = b.column(4 + kinds).to_numpy(zero_copy_only=False)
-            rows = np.stack([home.astype(np.int64), own, *(b.column(4 + i).to_numpy(zero_copy_only=False) for i in range(kinds))], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(anchor) != 0) | (np.diff(k) != 0) | (np.diff(salt) != 0)) + 1, [len(k)]])
-            for i in np.flatnonzero((np.diff(cuts) > 1) | (cuts[:-1] == 0) | (cuts[1:] == len(k))).tolist():  # others are alone
+            cell, of, home, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            rows = np.stack([home.astype(np.int64), fp], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(of) != 0)) + 1, [len(cell)]])
+            for i in np.flatnonzero((np.diff(cuts) > 1) | (cuts[:-1] == 0) | (cuts[1:] == len(cell))).tolist():  # others are alone
                 s, e = int(cuts[i]), int(cuts[i + 1])
                 if s == e:
                     continue
-                if key != (here := (int(k[s]), int(anchor[s]), int(salt[s]))):
+                if key != (here := (int(cell[s]), int(of[s]))):
                     close()
                     key = here
                 parts.append(rows[s:e])
@@ -214,36 +223,26 @@ def links(classes: DataFrame, most: int | None = None) -> DataFrame:
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def _home_bits(batches):
-    for b in batches:
-        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        own = homes(fp)
-        bit = np.concatenate([own, *(k + (1 << 24) for k in rest_keys(fp, own))])
-        yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.uint64(1) << (bit & 63).astype(np.uint64)).view(pa.int64())], ["w", "b"])
-
-
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64)).view(pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
 
 
-def forest(prints: np.ndarray, home: np.ndarray, kind: int, most: int | None) -> list[tuple[int, int]]:
-    """prints: one row for each member of an anchor, one column for each kind of fingerprint -> pairs of positions.
+def forest(prints: np.ndarray, home: np.ndarray, among: bool) -> list[tuple[int, int]]:
+    """prints: the members of a cell -> pairs of them that link.
 
-    First a spanning forest of the links between members at home. Then others that share a home elsewhere are taken as joined where they link, since that home returns their
-    forest; and of links from home to others only those are returned that join what is not joined yet. So a dense group gives an anchor about as many pairs as it has homes.
-    """
+    First, if `among`, a spanning forest of the links between members at home. Then others that share a home elsewhere are taken as joined where they link, since that home
+    returns their forest; and of links from home to others only those are returned that join what is not joined yet. So a dense group gives a cell about as many pairs as it has
+    homes."""
     at_home, others, joined_ = np.flatnonzero(home), np.flatnonzero(~home), np.arange(len(prints))
 
     def linked(x: np.ndarray, y: np.ndarray):
         step = max(1, (1 << 20) // max(1, len(y)))
         for i in range(0, len(x), step):
-            a, b = np.nonzero(np.bitwise_count(prints[x[i : i + step], kind][:, None] ^ prints[y, kind][None, :]) <= THRESHOLD)
-            a, b = x[i + a], y[b]
-            for j in range(0, len(a), 1 << 17):
-                u, v = a[j : j + (1 << 17)], b[j : j + (1 << 17)]
-                near = u != v if most is None else (u != v) & (np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1) <= most)
-                if near.any():
-                    yield u[near], v[near]
+            a, b = np.nonzero(np.bitwise_count(prints[x[i : i + step]][:, None] ^ prints[y][None, :]) <= THRESHOLD)
+            u, v = x[i + a], y[b]
+            near = u != v
+            if near.any():
+                yield u[near], v[near]
 
     def join(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
         """Joins what the links join; those that were needed. Each round hooks every root to a smaller one that it links to."""
@@ -257,177 +256,44 @@ def forest(prints: np.ndarray, home: np.ndarray, kind: int, most: int | None) ->
             u, v, p, q = u[open_], v[open_], p[open_], q[open_]
             high, first = np.unique(np.maximum(p, q), return_index=True)
             joined_[high] = np.minimum(p, q)[first]
-            used += zip(u[first].tolist(), v[first].tolist(), strict=True)
+            used += zip(prints[u[first]].tolist(), prints[v[first]].tolist(), strict=True)
             while (joined_[joined_] != joined_).any():
                 joined_ = joined_[joined_]
 
     out = []
-    if len(at_home) > 1:
+    if among and len(at_home) > 1:
         for u, v in linked(at_home, at_home):
             out += join(u, v)
-    if len(at_home) and len(others) > 1:
-        own = homes(prints[others, kind])
+    if len(others) > 1:
+        own = homes(prints[others])
         order = np.argsort(own, kind="stable")
         cuts = np.flatnonzero(np.diff(own[order])) + 1
         for same in np.split(others[order], cuts):
             if len(same) > 1:
                 for u, v in linked(same, same):
                     join(u, v)
-    if len(at_home) and len(others):
+    if len(others):
         for u, v in linked(at_home, others):
             out += join(u, v)
     return out
 
 
 def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_key, fp, component_id), one row for each row of docs.
+    """(doc_id, fp, component_id), one row for each row of docs.
 
     component_id: the smallest doc_id that links reach, its own included. Null and empty texts have fingerprint 0 and are
     linked like any other. Rows with a null doc_id are kept and never name a component (their component_id is null where
-    nothing else is linked). Repeated rows each come back. Other columns of docs are not read.
+    nothing else is linked). Repeated rows each come back. An empty table gives no rows. Other columns of docs are not read.
     """
     prints = materialize(fingerprints(docs, size), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(classes.select(F.col("fp").alias("id"), F.col("fp").alias("s0"))))
+    roots = components(links(classes))
     linked = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(linked.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "named")
     of_class = materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components")
-    return prints.join(of_class, "fp").select("doc_id", "row_key", "fp", "component_id")  # a hot fingerprint's rows are split by adaptive execution
-
-
-def text_key(text: str) -> int:
-    """Hash of the words in order, A-Z lower-cased, as a signed long."""
-    from xxhash import xxh3_64_intdigest
-
-    key = np.array([xxh3_64_intdigest(b" ".join(text.encode().translate(_LOWER).split()))], np.uint64)
-    return int(key.view(np.int64)[0])
-
-
-def shingle_set(text: str) -> list[int]:
-    """Sorted hashes of the NEAR_SHINGLE-word shingles; fewer words: one of them all; none: none."""
-    from xxhash import xxh3_64_intdigest
-
-    words = text.encode().translate(_LOWER).split()
-    shingles = [b" ".join(words)] if 0 < len(words) < NEAR_SHINGLE else map(b" ".join, zip(*(words[i:] for i in range(NEAR_SHINGLE)), strict=False))
-    return np.unique(np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64)).view(np.int64).tolist()
-
-
-def frequent(single: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that come again in a sample of the texts, and how many of those texts hold each. They only order shingles; any order gives the same groups."""
-    sample = single.where(F.pmod(F.xxhash64("row_key"), F.lit(SAMPLED)) == 0)
-    held = per_row(sample, "shingles array<long>", lambda: lambda text: (shingle_set(text),), "text")
-    counted = held.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    got = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).orderBy("key").toArrow()
-    return got["key"].to_numpy(), got["n"].to_numpy()
-
-
-def postings(single: DataFrame) -> DataFrame:
-    """key, id, n, at: the first shingles of every text, rare ones first. n: shingles of the text; at: the place of this one, from 1.
-
-    Two sets of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 of either in any order that is the same for all (prefix filter)."""
-    spark = single.sparkSession
-    usual = spark.sparkContext.broadcast(frequent(single))
-    small_batches(spark)
-    ddl = "key long, id long, n int, at int"
-    out = to_arrow(spark, ddl)
-
-    def run(batches):
-        hashes, counts = usual.value
-        for b in batches:
-            found = []
-            for text in b.column(0).to_pylist():
-                h = np.array(shingle_set(text), np.int64)
-                if len(h):
-                    n = np.zeros(len(h), np.int64)
-                    if len(hashes):
-                        i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                        n = np.where(hashes[i] == h, counts[i], 0)
-                    first = h[np.lexsort((h, n))[: len(h) - -(-4 * len(h) // 5) + 1]]
-                    found.append((first, np.full(len(first), text_key(text)), np.full(len(first), len(h)), np.arange(1, len(first) + 1)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*found, strict=True), out, strict=True)], schema=out)
-
-    return single.select("text").mapInArrow(run, ddl)
-
-
-def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by key and id, those whose key another id has too, each once."""
-    last, was = None, False  # the row that waits for the next one; whether it shares its key with the row before
-    for b in batches:
-        b = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks().to_batches()[0] if len(b) else b
-        if not len(b):
-            continue
-        key, own = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-        b, key = b.filter(pa.array(new)), key[new]
-        same = key[1:] == key[:-1]
-        before = np.concatenate([[was], same])
-        yield b.slice(0, len(b) - 1).filter(pa.array(before[:-1] | same))
-        last, was = b.slice(len(b) - 1), bool(before[-1])
-    if was:
-        yield last
-
-
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, group), one row for each row of docs: near-duplicates (Jaccard similarity of NEAR_SHINGLE-word shingles of SIMILARITY or more) share a group.
-
-    Exact: groups are the components of all pairs that are so similar. Every such pair meets at a posting (see there). Each round links the texts of a posting to one of them, checks
-    these links exactly and joins those that pass, so that a dense group costs as many rows as it has postings; at last all pairs that meet in different groups, whose sizes and places let
-    them be similar, are checked. Texts that are equal but for A-Z case and white space are one from the start; so are null, empty and blank ones. Rows with null or
-    repeated doc_ids each come back.
-    """
-    rows = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    keys = materialize(per_row(rows, "doc_id long, row_key long, id long", lambda: lambda doc_id, row_key, text: (doc_id, row_key, text_key(text)), "doc_id", "row_key", "text"), "keys")
-    classes = materialize(keys.groupBy("id").agg(F.min("row_key").alias("first")), "classes")
-    copies = materialize(keys.join(classes, "id").where("row_key <> first").select("row_key").distinct(), "copies")
-    single = rows.join(copies, "row_key", "left_anti")
-    dealt = postings(single)
-    dealt = dealt.repartition(parallelism(dealt), "key").sortWithinPartitions("key", "id")
-    met = materialize(dealt.mapInArrow(shared, "key long, id long, n int, at int"), "met")
-    n_met = met.count()
-
-    named = materialize(met.select("id").distinct().join(classes, "id").select(F.col("first").alias("row_key")), "named")
-    held = rows.join(named, "row_key", "left_semi")
-    sets = materialize(per_row(held, "id long, shingles array<long>", lambda: lambda text: (text_key(text), shingle_set(text)), "text").dropDuplicates(["id"]), "shingles")
-
-    may = (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")) & (9 * (1 + F.least(F.expr("a.n - a.at"), F.expr("b.n - b.at"))) >= 4 * F.expr("a.n + b.n"))
-
-    def alike(x: DataFrame, y: DataFrame) -> DataFrame:
-        """(u, v): what meets of x and y in different groups and is similar."""
-        both = x.alias("a").join(y.alias("b"), "key").where(F.expr("a.group <> b.group") & may)
-        pairs = materialize(both.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct(), "pairs")
-        tested = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-        return tested.where(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= SIMILARITY).select("u", "v")
-
-    now, edges = met.withColumn("group", F.col("id")), None
-    for turn in range(ROUNDS):
-        hubs = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "at", "group"), F.xxhash64("id", F.lit(turn))).alias("h")).select("key", "h.*")
-        found = alike(now, hubs)
-        edges = materialize(found if edges is None else edges.union(found), "alike")
-        roots = materialize(components(edges), "roots")
-        now = materialize(met.join(roots.toDF("id", "root"), "id", "left").select(*met.columns, F.coalesce("root", "id").alias("group")), "now")
-        sizes = materialize(now.groupBy("key", "group").agg(F.count("*").alias("m")), "sizes")
-        left = sizes.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if left <= n_met:
-            break
-    most = sizes.groupBy("key").agg(F.max_by("group", F.struct("m", "group")).alias("most"))  # of two groups one is not the largest
-    rest = materialize(now.join(most, "key").where("group <> most").select(now.columns), "rest")
-    roots = materialize(components(edges.union(alike(rest, now))), "roots")
-    return keys.join(roots.toDF("id", "root"), "id", "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("group"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near_duplicate_groups: the smallest doc_id's (null ids last), of rows that share it one. All columns stay as they are."""
-    groups = materialize(near_duplicate_groups(docs), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
-    kept = groups.groupBy("group").agg(first.alias("k")).select("k.row_key")
-    again = groups.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key")
-    kept = materialize(kept.join(again.withColumn("again", F.lit(True)), "row_key", "left").select(F.col("row_key").alias("_key"), F.coalesce("again", F.lit(False)).alias("_again")), "kept")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    once = keyed.join(kept.where("not _again"), "_key", "left_semi")
-    more = keyed.join(kept.where("_again"), "_key", "left_semi").dropDuplicates(["_key"])  # rows that occur again and again
-    return once.unionByName(more).select(docs.columns)
+    discard(classes, named)
+    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")  # a hot fingerprint's rows are split by adaptive execution
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

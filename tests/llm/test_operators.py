@@ -13,7 +13,7 @@ import pytest
 
 from tokenizers import Tokenizer
 
-from granary.llm import arrow_ids, chunks, decontaminate, html_blocks, language, licence_scan, packing, prefix_hash, secret_scan, simhash, tokens
+from granary.llm import arrow_ids, chunks, decontaminate, html_blocks, language, licence_scan, near_dedup, packing, prefix_hash, secret_scan, simhash, tokens
 from granary.llm.common import workspace
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata")
@@ -451,8 +451,9 @@ def test_simhash_groups(docs):
     assert got == slow_components([(d, slow_fingerprint(t)) for d, t in plain(docs)])
 
 
-def test_links_in_dense_groups(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_ANCHOR", 20)
+@pytest.mark.parametrize("hot", [10, 20_000])
+def test_links_in_dense_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_CELL", hot)
     r, prints = random.Random(8), set()
     for _ in range(6):
         centre = r.getrandbits(64)
@@ -466,7 +467,7 @@ def test_links_in_dense_groups(spark, monkeypatch):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     from granary.llm.graph import components
 
-    links = simhash.links(spark.createDataFrame([(signed(fp), signed(fp)) for _, fp in rows], "id long, s0 long"))
+    links = simhash.links(spark.createDataFrame([(signed(fp),) for _, fp in rows], "fp long"))
     roots = {x["node"] % (1 << 64): x["root"] for x in components(links).collect()}
     groups = defaultdict(set)
     for _, fp, c in slow_components(rows):
@@ -511,14 +512,24 @@ def slow_groups(texts):
 
 
 def test_one_of_each(odd_docs, no_docs, doc_rows):
-    kept = simhash.one_of_each(odd_docs)
-    assert kept.columns == odd_docs.columns and simhash.one_of_each(no_docs).count() == 0
+    kept = near_dedup.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns and near_dedup.one_of_each(no_docs).count() == 0
     first = {}
     for r, g in zip(doc_rows, slow_groups([r[1] or "" for r in doc_rows]), strict=True):
         first[g] = min(first.get(g, (True, 0)), (r[0] is None, r[0] or 0))
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == Counter(first.values())
 
 
+def test_sketches_never_differ_more_than_sets(spark):
+    r, rows = np.random.default_rng(3), []
+    for _ in range(200):
+        a = np.unique(r.integers(0, 1 << 63, r.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: r.integers(0, len(a) + 1)], r.integers(0, 1 << 63, r.integers(1, 300)).astype(np.uint64)]))
+        rows.append((*(near_dedup.sketch(x).view(np.int64).tolist() for x in (a, b)), len(np.setxor1d(a, b)), len(a) + len(b)))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, sets int, both int").withColumn("d", near_dedup.differing("a", "b")).collect()
+    assert all(x["d"] <= x["sets"] and x["d"] % 2 == x["sets"] % 2 for x in got) and sum(9 * x["d"] > x["both"] for x in got) > 100
+
+
 def test_near_duplicates_of_edits(spark):
     r = random.Random(12)
     vocabulary = [f"{a}{b}{c}" for a in "ba do ke li mu".split() for b in "na ter mos lin".split() for c in "s e ing ar".split()]
@@ -529,7 +540,7 @@ def test_near_duplicates_of_edits(spark):
         for p in r.sample(range(250), 4 if i % 2 else 60):  # a near copy, or one that is not near
             words[p] = "changed" + str(p)
         rows.append((2 * i + 1, " ".join(words)))
-    got = {x["doc_id"]: x["group"] for x in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: x["group"] for x in near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = slow_groups([t for _, t in rows])
     near = [i for i in range(60) if want[2 * i] == want[2 * i + 1]]
     assert len(near) == 30 and sum(got[2 * i] == got[2 * i + 1] for i in near) >= 29
@@ -545,7 +556,7 @@ def test_near_duplicates_of_cut_and_appended_tails(spark):
         rows.append((2 * i, " ".join(words)))
         n = r.randint(8, 70)
         rows.append((2 * i + 1, " ".join(words[:-n] if i % 2 else words + r.choices(vocabulary, k=n))))
-    got = {x["doc_id"]: x["group"] for x in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: x["group"] for x in near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = slow_groups([t for _, t in rows])
     assert 60 < sum(want[2 * i] == want[2 * i + 1] for i in range(80)) < 80
     assert [got[2 * i] == got[2 * i + 1] for i in range(80)] == [want[2 * i] == want[2 * i + 1] for i in range(80)]
@@ -564,7 +575,7 @@ def test_near_duplicates_through_weak_links(spark):
             for p in r.sample(range(200), r.randint(2, 6)):
                 words[p] = r.choice(vocabulary)
             made.append(" ".join(words))
-    got = {x["doc_id"]: x["group"] for x in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: x["group"] for x in near_dedup.near_duplicate_groups(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
     want = slow_groups(made)
     assert 15 < len(set(want)) < 90
     assert len(set(got.values())) == len(set(want)) == len({(got[i], w) for i, w in enumerate(want)})
