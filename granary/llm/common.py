@@ -63,6 +63,27 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.encode(F.concat(F.coalesce(doc_id, F.lit("-")), F.lit(" "), F.coalesce(text, F.lit(""))), "UTF-8")))
 
 
+#: Bits of a filter of keys, for each key and in all at most (half a megabyte).
+KEY_BITS, MOST_KEY_BITS = 32, 1 << 22
+
+
+def may_be_among(keys: DataFrame, name: str) -> Callable[[str], Column]:
+    """A test of a column: false where its value is surely none of the keys. A join of whole rows with few keys then moves few rows; with so many keys that all bits are set
+    it moves all of them, and the result is the same. The bits are one value, made by aggregates and used as a scalar subquery."""
+    spark = keys.sparkSession
+    bits = min(MOST_KEY_BITS, max(1 << 10, 1 << (KEY_BITS * keys.count()).bit_length()))
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.xxhash64(name).alias("h")).select(F.shiftright(bit, 6).alias("id"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("id").agg(F.expr("bit_or(b)").alias("b"))
+    row = spark.range(bits >> 6).join(words, "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("bits"))
+    row = materialize(row, "bits")
+
+    def test(column: str) -> Column:
+        h = F.xxhash64(column)
+        return F.getbit(F.get(row.scalar(), F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as df needs to have no such column."""
     taken = {c.lower() for c in df.columns}

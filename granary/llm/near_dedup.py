@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import simhash
-from granary.llm.common import discard, free_name, materialize, parallelism, per_row, row_key, small_batches, texts, to_arrow
+from granary.llm.common import discard, free_name, materialize, may_be_among, parallelism, per_row, row_key, small_batches, texts, to_arrow
 from granary.llm.graph import components
 
 #: Words in a shingle, and least similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
 #: One text of so many tells which shingles are frequent; so many of those are known at most. A frequent shingle's postings are dealt to a task for each so many.
 SAMPLED, FREQUENT, DEALT = 16, 500_000, 20_000
-#: Rounds of one link for each posting before all pairs are tested.
-ROUNDS = 8
+#: Rounds of one link for each posting before all pairs are tested: at most so many, and no more once a round has found fewer links than one for so many open postings.
+ROUNDS, FEW = 8, 50
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -161,7 +161,7 @@ class _Tester:
         for there in self.held:
             wanted = wanted.join(there.select("id"), "id", "left_anti")
         wanted = materialize(wanted.join(self.classes.select("id", "first"), "id"), "wanted")
-        rows = self.rows.join(wanted.withColumnRenamed("first", "row_key"), "row_key")
+        rows = self.rows.where(may_be_among(wanted, "first")("row_key")).join(wanted.withColumnRenamed("first", "row_key"), "row_key")
         found = per_row(rows, "id long, held array<long>", lambda: lambda i, text: (i, shingle_set(text).view(np.int64).tolist()), "id", "text")
         self.held.append(materialize(found.dropDuplicates(["id"]), "sets"))
         sets = self.held[0]
@@ -180,7 +180,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     blank ones. Rows with null or repeated doc_ids each come back; an empty table gives none. Columns other than doc_id and text are not read.
 
     After the fingerprints' links, each round links the texts of a posting to one of them, so that a dense group costs as many rows as it has postings, and keeps what still meets in
-    different groups. Once few enough pairs are left, or after ROUNDS rounds, all of those whose sizes and places let them be similar are tested.
+    different groups. Once few enough pairs are left, or links have become few, all pairs whose sizes and places let them be similar are tested.
     """
     rows = texts(docs, row_key().alias("row_key"))
     ddl = "doc_id long, row_key binary, digest binary, n int, fp long, sketch array<long>"
@@ -213,7 +213,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     # one row of each text: copies of other texts stay out, rows that occur again and again are put together
     times = keys.groupBy("row_key", "digest").agg(F.count("*").alias("m")).join(classes.select("digest", "first"), "digest")
     odd = materialize(times.where("row_key <> first or m > 1").select("row_key", (F.col("row_key") == F.col("first")).alias("again")), "copies")
-    single = rows.join(odd.select("row_key"), "row_key", "left_anti").unionByName(rows.join(odd.where("again").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(rows.columns))
+    single = one_row_each(rows, odd, "row_key")
     dealt = postings(single)
     dealt = dealt.repartition(parallelism(dealt), "key", "salt").sortWithinPartitions("key", "digest")
     met = dealt.mapInArrow(shared, "key long, digest binary, n int, at int, salt int").drop("salt")
@@ -231,7 +231,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         return rows_.join(roots.toDF("id", "root"), "id", "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("group"))
 
     roots = materialize(components(edges), "roots")
-    now = grouped(met, roots)
+    now, few = grouped(met, roots), False
     for turn in range(ROUNDS + 1):
         sizes = now.groupBy("key", "group").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "n", "at", "group"), F.xxhash64("id", F.lit(turn))).alias("h"))
         pairs = (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2
@@ -239,8 +239,8 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         open_ = materialize(sizes.groupBy("key").agg(pairs.alias("pairs"), hub.alias("h"), most.alias("most")).where("pairs > 0"), "open")
         now, before = materialize(now.join(open_.select("key"), "key", "left_semi"), "now"), now
         discard(before)
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
-        last = turn == ROUNDS or left <= n_met
+        left, n_open = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.count("*")).first()
+        last = few or turn == ROUNDS or left <= n_met
         if not left:
             break
         if last:  # of two groups one is not the largest
@@ -252,7 +252,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         discard(before, open_)
         if last:
             break
-        now = grouped(now, roots)
+        now, few = grouped(now, roots), FEW * found.count() < n_open
     group = classes.join(roots.toDF("id", "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("group"))
     out = materialize(keys.select("doc_id", "row_key", "digest").join(group, "digest").select("doc_id", "row_key", "group"), "groups")
     discard(keys, classes, edges, odd, met, now, roots, *tester.held)
@@ -269,7 +269,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     odd = materialize(times.where("row_key <> kept or m > 1").select("row_key", (F.col("row_key") == F.col("kept")).alias("again")), "removed")
     discard(groups)
     key = free_name(docs, "row_key")
-    keyed, odd = docs.withColumn(key, row_key()), odd.withColumnRenamed("row_key", key)
-    once = keyed.join(odd.select(key), key, "left_anti")
-    more = keyed.join(odd.where("again").select(key), key, "left_semi").dropDuplicates([key])
-    return once.unionByName(more).select(docs.columns)
+    return one_row_each(docs.withColumn(key, row_key()), odd, key).select(docs.columns)
+
+
+def one_row_each(rows: DataFrame, odd: DataFrame, key: str) -> DataFrame:
+    """rows without those whose key is among odd (row_key, again), but for one of each that is to be there again."""
+    odd = odd.withColumnRenamed("row_key", key)
+    may = may_be_among(odd, key)(key)
+    some = rows.where(may)
+    once = rows.where(~may).unionByName(some.join(odd.select(key), key, "left_anti"))
+    return once.unionByName(some.join(odd.where("again").select(key), key, "left_semi").dropDuplicates([key]).select(rows.columns))

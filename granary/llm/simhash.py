@@ -32,8 +32,8 @@ SHINGLE = 3
 SEED = 42
 #: A cell with more members is cut into blocks of about so many.
 HOT_CELL = 20_000
-#: Bits of the bitmap for each fingerprint, and of all of it at least and at most (powers of two; at most 32 MB are sent to each executor).
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
+#: Bits of the bitmap for each cell, how many of them a cell sets, and bits of all of it at least and at most (powers of two; at most 64 MB are sent to each executor).
+BITS_EACH, PROBES, LEAST_BITS, MOST_BITS = 16, 4, 1 << 20, 1 << 29
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -124,8 +124,23 @@ def cells(fp: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
     return [anchor << 20 | kind << 18 | part for kind, part in enumerate((0 * rest, rest & 511, rest >> 9, rest))]
 
 
-def bit_of(cell: np.ndarray, bits: int) -> np.ndarray:
-    return ((cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+def bits_of(cell: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The PROBES bits of each cell."""
+    h = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(31)
+    for _ in range(PROBES):
+        h = h * np.uint64(0xBF58476D1CE4E5B9)
+        yield (h >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+        h ^= h >> np.uint64(29)
+
+
+def has(words: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Places of the cells that may be somebody's home."""
+    at = np.arange(len(cell))
+    for bit in bits_of(cell, len(words) << 6):
+        bit = bit[at] if len(at) < len(bit) else bit
+        at = at[(words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+    return at
 
 
 def homes_bitmap(prints: DataFrame, bits: int) -> np.ndarray:
@@ -134,7 +149,7 @@ def homes_bitmap(prints: DataFrame, bits: int) -> np.ndarray:
     def run(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            bit = np.concatenate([bit_of(c, bits) for c in cells(fp, homes(fp))])
+            bit = np.concatenate([x for c in cells(fp, homes(fp)) for x in bits_of(c, bits)])
             word, at = np.unique(bit >> 6, return_inverse=True)
             value = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(value, at, np.uint64(1) << (bit & 63).astype(np.uint64))
@@ -147,7 +162,7 @@ def homes_bitmap(prints: DataFrame, bits: int) -> np.ndarray:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """fp long, each once -> (u, v), pairs of fingerprints that differ in THRESHOLD bits or fewer.
+    """fp long, each once -> (u, v), written: pairs of fingerprints that differ in THRESHOLD bits or fewer.
 
     The pairs returned join the same fingerprints as all links do: within a cell they are a spanning forest of its links, so that a dense group costs as many rows as it has
     members. A cell of more than HOT_CELL members is cut into blocks; a task compares two blocks, and each member goes to as many tasks as there are blocks to meet.
@@ -155,7 +170,7 @@ def links(prints: DataFrame) -> DataFrame:
     spark = prints.sparkSession
     small_batches(spark)
     prints = prints.select("fp")
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, prints.count())).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * BITS_EACH * max(1, prints.count()) - 1).bit_length()))
     bitmap = spark.sparkContext.broadcast(homes_bitmap(prints, bits))
 
     def replicate(batches):
@@ -167,11 +182,9 @@ def links(prints: DataFrame) -> DataFrame:
             for row, anchor, cost in anchors(fp):
                 of = cells(fp[row], anchor)
                 for kind, wanted in enumerate((cost <= 1, cost == 2, cost == 2, cost >= 3)):
-                    cell = of[kind][wanted]
-                    bit = bit_of(cell, bits)
-                    met = (words[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                    met &= own[row[wanted]] != anchor[wanted]
-                    found.append((cell[met], row[wanted][met], False))
+                    at = np.flatnonzero(wanted & (own[row] != anchor))
+                    at = at[has(words, of[kind][at])]
+                    found.append((of[kind][at], row[at], False))
             cell, row = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             home = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), b.column(0).take(pa.array(row))], ["cell", "home", "fp"])
@@ -220,7 +233,9 @@ def links(prints: DataFrame) -> DataFrame:
         if found:
             yield _pairs(found)
 
-    return dealt.mapInArrow(compare, "u long, v long")
+    out = materialize(dealt.mapInArrow(compare, "u long, v long"), "links")
+    discard(replicas, hot)
+    return out
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
