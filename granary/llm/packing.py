@@ -2,8 +2,10 @@
 
 Pieces matter only by length, so the whole problem is a histogram of at most 2048 counts, whatever the corpus holds. A configuration is a
 multiset of lengths that fit into one sequence. The program (as few sequences as cover every length's count) is solved by multiplicative
-weights: lengths that are covered less get more weight, and a knapsack dynamic program prices the best configuration for the weights. The
-solution is rounded down, within what there is; the rest goes, best fit first, into the gaps.
+weights: a length that is covered less than the others gets more weight, and a knapsack dynamic program prices the best configurations for the weights. Each
+pricing's configurations are rounded down at once, within what there is, and the next one solves what is left; the last few pieces go, best fit first, into the gaps.
+Several starting prices are tried, one of them so that no configuration is taken and all is left to best fit; the fewest sequences win. What no packing can be
+better than is told by feasible dual prices.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from granary.llm.tokens import encoder
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 CAPACITY = 2048
-#: Pricing rounds of a solution, tolerance within which a configuration counts as best, and factors by which the solution is scaled before it is rounded down.
-ROUNDS, TOLERANCE, SCALES = 20, 0.05, (1.0, 0.8, 0.5)
+#: Starting prices and steps: how much more a long piece is worth than its share of a sequence, how strongly weights follow the cover, which share of what is there a step takes,
+#: and how near to the best of all a configuration must come in value to be taken.
+PLANS = ((0.05, 0.0, 0.5, 0.002), (0.3, 0.3, 0.5, 0.005), (0.05, 0.05, 0.25, 0.001), (1.0, 0.0, 0.5, 0.01))
+#: Pricings of a plan, and the largest tolerance.
+ROUNDS, LOOSEST = 25, 0.02
+
 
 def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: best[c], the most value of lengths that sum to c or less, and choice[c], a length to take there (0: none).
+    """Unbounded knapsack: best[c], the most value of lengths that sum to c or less, and choice[c], a length to take there (0: nothing, -1: as in c - 1).
     value[k]: of length k, 0 where there is none."""
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
@@ -36,75 +42,82 @@ def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         if total[k] > best[c - 1] and value[k + 1] > 0:
             best[c], choice[c] = total[k], k + 1
         else:
-            best[c], choice[c] = best[c - 1], -1
+            best[c], choice[c] = best[c - 1], -1 if c > 1 else 0
     return best, choice
 
 
-def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Configurations and how often each is used, by multiplicative weights; scaled so that half of the lengths are used as often as they occur."""
-    present = np.flatnonzero(counts)
-    cover, used = np.zeros(capacity + 1), defaultdict(float)
-    for _ in range(max(ROUNDS, ROUNDS * 2048 // capacity)):
+def configurations(counts: np.ndarray, capacity: int, slope: float, pull: float, share: float, tolerance: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray, float]:
+    """Configurations with whole numbers, what they leave, and the least number of sequences that the first prices prove."""
+    left, found, bound = counts.astype(np.int64).copy(), [], 0.0
+    worth = np.arange(capacity + 1) / capacity
+    worth = worth * (1 + slope * worth)
+    for turn in range(ROUNDS):
+        present = np.flatnonzero(left)
+        if not len(present) or tolerance > LOOSEST:
+            break
+        waiting = left[present] / counts[present]
         value = np.zeros(capacity + 1)
-        value[present] = np.exp(-(cover[present] - cover[present].min()) * 4) * present / capacity
+        value[present] = worth[present] * np.exp(pull * (waiting - waiting.mean()))
         best, choice = price(value, capacity)
-        for first in sorted(present, key=lambda k: cover[k]):
-            # the best configuration that holds this length, taken only if its value under the weights of now is near the best of all
-            items, left = [int(first)], capacity - int(first)
-            while left > 0 and choice[left]:
-                if choice[left] < 0:
-                    left -= 1
-                    continue
-                items.append(int(choice[left]))
-                left -= items[-1]
-            config = np.array(items)
-            gain = value[config].sum()
-            if gain < (1 - TOLERANCE) * best[capacity] and cover[first] > cover[present].min():
+        if turn == 0:
+            bound = float((value * counts).sum() / best[capacity])
+        taken = 0
+        for first in present[::-1].tolist():  # the best configuration that holds this length
+            if not left[first]:
                 continue
-            kinds, times = np.unique(config, return_counts=True)
-            times_ok = times <= counts[kinds]
-            if not times_ok.all():
-                kinds, times = kinds, np.minimum(times, counts[kinds].astype(np.int64))
-                config = np.repeat(kinds, times)
-            step = 0.25 * (counts[kinds] / times).min()
-            used[tuple(sorted(config.tolist(), reverse=True))] += step
-            cover[kinds] += step * times / counts[kinds]
-            value[kinds] *= np.exp(-4 * step * times / counts[kinds])
-    scale = max(float(np.median(cover[present])), 1e-9)
-    return {c: x / scale for c, x in used.items()}
-
-
-def rounded(solution: dict[tuple[int, ...], float], counts: np.ndarray, scale: float) -> list[tuple[tuple[int, ...], int]]:
-    """Whole numbers of configurations, fullest first, within what there is. Those emptier than the solution's mean are left out: what they would hold may go into gaps."""
-    left, found = counts.copy(), []
-    mean = sum(x * sum(c) for c, x in solution.items()) / sum(solution.values())
-    for config, x in sorted(solution.items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0])):
-        if sum(config) < mean:
-            break
-        kinds, times = np.unique(config, return_counts=True)
-        n = min(int(x * scale), int((left[kinds] // times).min()))
-        if n > 0:
-            found.append((config, n))
-            left[kinds] -= n * times
-    return found
-
-
-def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """counts[k]: pieces of length k -> (lengths in one sequence, sequences of that kind), which together hold every piece. The roundings of SCALES are completed best fit
-    first; the one with the fewest sequences is taken."""
+            held, gap, gain = {first: 1}, capacity - first, value[first]
+            while gap > 0 and choice[gap]:
+                k = int(choice[gap])
+                if k < 0:
+                    gap -= 1
+                elif left[k] > held.get(k, 0):
+                    held[k] = held.get(k, 0) + 1
+                    gap, gain = gap - k, gain + value[k]
+                else:
+                    break
+            if gain >= (1 - tolerance) * best[capacity]:
+                n = max(1, int(share * min(int(left[k]) // m for k, m in held.items())))
+                for k, m in held.items():
+                    left[k] -= n * m
+                found.append((tuple(k for k, m in sorted(held.items(), reverse=True) for _ in range(m)), n))
+                taken += n
+        if not taken:
+            tolerance = 2 * tolerance + 1e-4
+    return found, left, bound
+
+
+def least(counts: np.ndarray, capacity: int) -> int:
+    """What no packing can be better than, by dual prices that no sequence exceeds: 1 for a piece of over half a sequence, whose gap pieces from a least size on must fill."""
+    size = np.arange(capacity + 1)
+    half = capacity // 2
+    best = -(-int((counts * size).sum()) // capacity)
+    n, room = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * size)[::-1])[::-1]  # pieces, and tokens in them, from a length on
+    n_big, tokens_big = int(n[half + 1]) if half < capacity else 0, int(room[half + 1]) if half < capacity else 0
+    for low in range(1, half + 1):
+        n_huge, tokens_huge = (int(n[capacity - low + 1]), int(room[capacity - low + 1]))
+        gaps = capacity * (n_big - n_huge) - (tokens_big - tokens_huge)
+        best = max(best, n_big + max(0, -(-(int(room[low]) - tokens_big - gaps) // capacity)))
+    return best
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """counts[k]: pieces of length k -> (lengths in one sequence, sequences of that kind), which together hold every piece, and the proven least number of sequences."""
     left = counts.astype(np.int64).copy()
-    full = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    n_full = int(left[capacity])
     left[capacity] = 0
+    full, bound = [((capacity,), n_full)] if n_full else [], least(left, capacity)
     if not left.any():
-        return full
-    solution, best = fractional(left, capacity), None
-    for scale in SCALES:
-        found = rounded(solution, left, scale)
-        rest = left - sum((np.bincount(c, minlength=capacity + 1) * n for c, n in found), np.zeros(capacity + 1, np.int64))
+        return full, n_full
+    best = best_fit(left.copy(), [], capacity)
+    for plan in PLANS:
+        if sum(n for _, n in best) <= bound:
+            break
+        found, rest, proven = configurations(left, capacity, *plan)
+        bound = max(bound, int(np.ceil(proven - 1e-6 * (1 + proven))))
         found = best_fit(rest, found, capacity)
-        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+        if sum(n for _, n in found) < sum(n for _, n in best):
             best = found
-    return full + best
+    return full + best, n_full + bound
 
 
 def best_fit(left: np.ndarray, opened: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -167,11 +180,11 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capaci
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and for the whole packing n_sequences and least_sequences (no packing has fewer): one row for each piece.
 
     Null and empty texts are one piece, the end id alone. Rows with a null or repeated doc_id are packed like any other. An empty table gives
-    no rows. Other columns of docs are not read. The driver sees the histogram (2048 counts) and the configurations, whose number the histogram
-    bounds.
+    no rows. Other columns of docs are not read. The driver sees the histogram (2048 counts) and the configurations: pieces of
+    a length go to sequences of a kind together, so there are no more than pairs of a length and a gap, 2 million, whatever the corpus holds.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, vocabulary, end, capacity), "pieces")
@@ -181,7 +194,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capacity
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in first.groupBy("length").agg(F.sum("n")).collect():
         histogram[length] = n
-    tables = spark.sparkContext.broadcast(slots(solve(histogram, capacity)))
+    found, fewest = solve(histogram, capacity)
+    n_sequences = sum(n for _, n in found)
+    tables = spark.sparkContext.broadcast(slots(found))
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     out = to_arrow(spark, ddl)
 
@@ -193,7 +208,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capacity
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(base[at] + rank - begin[at]), pa.array(offset[at])], schema=out)
 
     ranked = cut.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, ddl)
+    return ranked.mapInArrow(place, ddl).withColumns({"n_sequences": F.lit(n_sequences).cast("long"), "least_sequences": F.lit(fewest).cast("long")})
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,13 +51,17 @@ def _without_space(text: str) -> list[str]:
 class Encoder(dict):
     """encode(texts) gives an array of ids for each text; dtype is the smallest that holds the vocabulary. As a dict: the ids of chunks, as bytes."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, specials_as_text: bool = False):
+        """specials_as_text: the strings of special tokens are ordinary text; else they are found as the library finds them."""
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = specials_as_text
+        # strings that the tokenizer looks for before anything else: texts that may hold one are not cut
+        added = [] if specials_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(added))), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._mapped = dict(enumerate(_byte_letters()))
@@ -99,7 +103,11 @@ class Encoder(dict):
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(map(self.__getitem__, self.cut(t))), self.dtype) for t in texts]
+        """The ids of each text as the library gives them with add_special_tokens=False."""
+        return [self.whole(t) if self.special and self.special.search(t) else np.frombuffer(b"".join(map(self.__getitem__, self.cut(t))), self.dtype) for t in texts]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
 
 @lru_cache(2)
