@@ -122,6 +122,29 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | Non
     return df.mapInArrow(run, df.schema)
 
 
+def change_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], str | None]]) -> DataFrame:
+    """docs with each text replaced by what the function that make() returns gives; n_chars, where there is such a column, is the length of a text that changed. All other columns
+    and rows stay as they are."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for batch in batches:
+            before = batch.column(at).to_pylist()
+            after = [change(x) for x in before]
+            columns = list(batch.columns)
+            columns[at] = pa.array(after, batch.schema.field(at).type)
+            if n_at is not None:
+                kind = batch.schema.field(n_at).type
+                lengths = [n if new == old else len(new) for old, new, n in zip(before, after, columns[n_at].to_pylist(), strict=True)]
+                columns[n_at] = pa.array(lengths, kind)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def to_arrow(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, table
+from granary.llm.common import free_name, materialize, may_be_among, row_key, table
 
 #: Together they hit any two texts of 13 words that differ in two, of 15 in three, of 20 in four: at any places.
 MASKS = ("1110101", "1101011", "11111")
@@ -26,13 +26,14 @@ def word_hashes(text: Column) -> Column:
 
 
 def seeds(hashes: str, masks: tuple[str, ...]) -> Column:
-    """Array of (key, at) of every mask at every place."""
+    """Array of (key, at, before) of every mask at every place; before: the key at the place before, null at the first."""
 
     def of(mask: str) -> Column:
         ones = [i for i, bit in enumerate(mask) if bit == "1"]
         places = F.sequence(F.lit(1), F.size(hashes) - len(mask) + 1)
         key = lambda i: F.xxhash64(F.lit(mask), *(F.get(F.col(hashes), i + (o - 1)) for o in ones))
-        return F.when(F.size(hashes) >= len(mask), F.transform(places, lambda i: F.struct(key(i).alias("key"), i.alias("at")))).otherwise(F.array())
+        keys = F.transform(places, key)
+        return F.when(F.size(hashes) >= len(mask), F.zip_with(F.arrays_zip(keys.alias("key"), places.alias("at")), F.concat(F.array(F.lit(None).cast("long")), F.slice(keys, 1, F.size(hashes) - len(mask))), lambda s, before: F.struct(s["key"].alias("key"), s["at"].alias("at"), before.alias("before")))).otherwise(F.array())
 
     return F.concat(*(of(m) for m in masks))
 
@@ -62,26 +63,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row_key, item_id, doc_start, n_words, n_equal, item_words, similarity: the best overlap of each pair of a document and an item that has one.
 
     Counted in words; doc_start from 0. Items with equal words are one, named by their smallest item_id (null ids last). Items and texts that are null or hold no word
-    have no overlap; an item shorter than the longest mask must occur whole and unchanged. row_key tells rows with the same doc_id apart (hash of id and text; repeated
-    rows share it and each come back). Extra columns are not read. Either table may be empty.
+    have no overlap; an item shorter than the longest mask must occur whole and unchanged. row_key tells rows with the same doc_id apart (hash of id and text); rows that
+    share both come back once. Extra columns are not read. Either table may be empty.
+
+    Of hits that follow one another on a diagonal only the first counts: one whose seeds have equal seeds before them is skipped. So a word that is said over and over in a
+    text and in an item gives as many rows as the two are long.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") > 0)
-    items = materialize(items.groupBy("item").agg(F.min("item_id").alias("item_id")).select("item_id", "item", F.xxhash64("item").alias("item_key")), "items")
+    items = materialize(items.groupBy("item").agg(F.min("item_id").alias("item_id")).select("item_id", "item", F.monotonically_increasing_id().alias("item_key")), "items")
     span = max(map(len, MASKS))
     short = sorted(r[0] for r in items.where(F.size("item") < span).select(F.size("item")).distinct().collect())  # at most span - 1 numbers
     masks = MASKS + tuple("1" * n for n in short if "1" * n not in MASKS)
-    of_items = items.select("item_key", F.explode(seeds("item", masks)).alias("s")).select("item_key", "s.key", F.col("s.at").alias("item_at"))
+    of_items = items.select("item_key", F.explode(seeds("item", masks)).alias("s")).select("item_key", "s.key", F.col("s.at").alias("item_at"), F.col("s.before").alias("item_before"))
     of_items = materialize(of_items, "seeds")
     small = of_items.count() <= BROADCAST_SEEDS
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    of_docs = rows.select("row_key", word_hashes(F.col("text")).alias("words")).select("row_key", F.explode(seeds("words", masks)).alias("s")).select("row_key", "s.key", "s.at")
-    hits = of_docs.join(F.broadcast(of_items) if small else of_items, "key").select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row_key")).where("text is not null")
+    of_docs = rows.select("row_key", word_hashes(F.col("text")).alias("words")).select("row_key", F.explode(seeds("words", masks)).alias("s")).select("row_key", "s.*")
+    first = F.expr("before is null or item_before is null or before <> item_before")
+    hits = of_docs.join(F.broadcast(of_items) if small else of_items, "key").where(first).select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = materialize(hits, "hits")
 
-    found = rows.join(hits, "row_key").join(items, "item_key").select("doc_id", "row_key", "item_id", "item", "diagonal", word_hashes(F.col("text")).alias("words"))
+    hit = rows.where(may_be_among(hits, "row_key")("row_key")).join(hits.select("row_key").distinct(), "row_key")
+    hit = materialize(hit.select("doc_id", "row_key", word_hashes(F.col("text")).alias("words")).dropDuplicates(["row_key"]), "words")
+    found = hit.join(hits, "row_key").join(items, "item_key")
     start, skipped = F.greatest("diagonal", F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     length = F.least(F.size("words") - start, F.size("item") - skipped)
     same = F.zip_with(F.slice("words", start + 1, length), F.slice("item", skipped + 1, length), lambda a, b: a == b)
@@ -103,10 +109,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that overlap a benchmark item; all other rows and all columns stay as they are."""
-    bad = overlaps(docs, benchmark).select(F.col("row_key").alias("_row_key")).distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(bad, "_row_key", "left_anti").select(docs.columns)
+    """docs without the rows that overlap a benchmark item. All other rows stay, null and empty texts, null doc_ids and repeated rows too, and all columns as they are; rows that
+    share a doc_id are judged by their own texts. Either table may be empty."""
+    bad = materialize(overlaps(docs, benchmark).select("row_key").distinct(), "bad")
+    key = free_name(docs, "row_key")
+    bad = bad.withColumnRenamed("row_key", key)
+    keyed, may = docs.withColumn(key, row_key()), may_be_among(bad, key)(key)
+    return keyed.where(~may).unionByName(keyed.where(may).join(bad, key, "left_anti")).select(docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

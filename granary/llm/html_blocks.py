@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -39,27 +40,67 @@ CLOSES = {
 _NAMES = re.compile(r"[a-z]+|\d+")
 
 
+@lru_cache(1 << 16)
+def _slot(word: str, width: int) -> tuple[int, float]:
+    h = zlib.crc32(word.encode())
+    return h % width, 1.0 if h >> 16 & 1 else -1.0
+
+
+class Open:
+    """An open element. sums: the hashed names (tags, classes, ids, roles) of it and of all elements around it; last: the last two of those names. Each element adds its own
+    names to what the one around it has, so that deep pages cost no more than long ones."""
+
+    __slots__ = ("tag", "sums", "last", "_vector")
+
+    def __init__(self, tag: str, names: list[str], around: Open | None):
+        self.tag, self.sums, self._vector = tag, np.zeros(PATHS, np.float32) if around is None else around.sums.copy(), None
+        for name in names:
+            at, sign = _slot(name, PATHS)
+            self.sums[at] += sign
+        self.last = ((*around.last, *names) if around else tuple(names))[-2:]
+
+    def vector(self) -> np.ndarray:
+        if self._vector is None:
+            self._vector = self.sums.copy()
+            for name in self.last:
+                at, sign = _slot("." + name, PATHS)
+                self._vector[at] += 0.5 * sign
+        return self._vector
+
+
 class Blocks(HTMLParser):
-    """blocks: (text, path tokens, characters within links) of each leaf block, in page order."""
+    """blocks: (text, innermost open element or None, characters within links) of each leaf block, in page order.
+
+    A block-level end tag closes all that was opened since its start tag. An inline end tag does so only if no block-level element was opened since; else it closes nothing. End
+    tags without a start tag are nothing. Every step costs the same however deep the page is."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str]]] = []
-        self.blocks: list[tuple[str, list[str], int]] = []
+        self.open: list[Open] = []
+        self.levels: list[int] = []  # places of block-level elements in open
+        self.places: dict[str, list[int]] = defaultdict(list)  # places of the elements with a tag in open
+        self.blocks: list[tuple[str, Open | None, int]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.silent = 0
-        self.path: list[str] = []
+        self.inside: Open | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.path, self.linked))
+            self.blocks.append((text, self.inside, self.linked))
         self.parts, self.linked = [], 0
 
-    def _close_last(self) -> None:
-        tag, _ = self.open.pop()
-        self.silent -= tag in SILENT
+    def _close(self, tag: str) -> None:
+        """Closes the last open element with this tag, and those in it."""
+        while self.open:
+            last = self.open.pop().tag
+            if self.levels and self.levels[-1] == len(self.open):
+                self.levels.pop()
+            self.places[last].pop()
+            self.silent -= last in SILENT
+            if last == tag:
+                break
 
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
@@ -67,19 +108,18 @@ class Blocks(HTMLParser):
                 self.parts.append(" ")
         else:
             self.flush()
-            block = next((t for t, _ in reversed(self.open) if t not in INLINE), None)
+            block = self.open[self.levels[-1]].tag if self.levels else None
             if block in CLOSES and tag in CLOSES[block]:
-                while self.open:
-                    last = self.open[-1][0]
-                    self._close_last()
-                    if last == block:
-                        break
+                self._close(block)
         if tag not in VOID:
             names = [tag]
             for k, v in attrs:
                 if v and k in ("class", "id", "role"):
-                    names += _NAMES.findall(v.lower()[:200])
-            self.open.append((tag, names))
+                    names += _NAMES.findall(v.lower())
+            if tag not in INLINE:
+                self.levels.append(len(self.open))
+            self.open.append(Open(tag, names, self.open[-1] if self.open else None))
+            self.places[tag].append(len(self.open) - 1)
             self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
@@ -90,27 +130,22 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        if tag in VOID or not any(t == tag for t, _ in self.open):
-            return
-        if tag in INLINE and not any(t == tag for t, _ in self.open[-8:]):
+        found = self.places[tag][-1:] if tag not in VOID else []
+        if not found or tag in INLINE and self.levels and found[0] < self.levels[-1]:
             return
-        while self.open:
-            last = self.open[-1][0]
-            self._close_last()
-            if last == tag:
-                break
+        self._close(tag)
 
     def handle_data(self, data):
         if self.silent:
             return
         if not self.parts:
-            self.path = [n for _, names in self.open for n in names]
+            self.inside = self.open[-1] if self.open else None
         self.parts.append(data)
-        if any(t == "a" for t, _ in self.open):
+        if self.places["a"]:
             self.linked += len(data.strip())
 
 
-def blocks(html: str) -> list[tuple[str, list[str], int]]:
+def blocks(html: str) -> list[tuple[str, Open | None, int]]:
     parser = Blocks()
     parser.feed(html)
     parser.close()
@@ -118,27 +153,12 @@ def blocks(html: str) -> list[tuple[str, list[str], int]]:
     return parser.blocks
 
 
-@lru_cache(1 << 16)
-def _slot(word: str, width: int) -> tuple[int, float]:
-    h = zlib.crc32(word.encode())
-    return h % width, 1.0 if h >> 16 & 1 else -1.0
-
-
-def vectors(page: list[tuple[str, list[str], int]]) -> np.ndarray:
+def vectors(page: list[tuple[str, Open | None, int]]) -> np.ndarray:
     """One row for each block: hashed tag path, hashed words (whole text), counts."""
     out = np.zeros((len(page), WIDTH), np.float32)
-    paths: dict[tuple[str, ...], np.ndarray] = {}
-    for k, (text, path, linked) in enumerate(page):
-        seen = paths.get(key := tuple(path))
-        if seen is None:
-            seen = paths[key] = np.zeros(PATHS, np.float32)
-            for depth, name in enumerate(path):
-                at, sign = _slot(name, PATHS)
-                seen[at] += sign
-                if depth >= len(path) - 2:
-                    at, sign = _slot("." + name, PATHS)
-                    seen[at] += 0.5 * sign
-        out[k, :PATHS] = seen
+    for k, (text, inside, linked) in enumerate(page):
+        if inside is not None:
+            out[k, :PATHS] = inside.vector()
         words = np.fromiter(map(zlib.crc32, text.lower().encode().split(b" ")), np.uint32)
         out[k, PATHS : PATHS + WORDS] = np.bincount(words % WORDS, weights=(words >> 16 & 1) * 2.0 - 1, minlength=WORDS) / len(words) ** 0.5
         n = len(text)

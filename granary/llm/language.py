@@ -11,12 +11,13 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.llm.common import keep_rows, per_row, table
 
-#: Width of the vectors, and rows of each language that training sees at most (about).
-WIDTH, SAMPLE = 1 << 12, 400
+#: Width of the vectors; rows of each language that training sees at most; languages that are learned at most, the most frequent ones.
+WIDTH, SAMPLE, LANGUAGES = 1 << 12, 400, 200
 EPOCHS, STRENGTH = 12, 1e-4
 UNKNOWN = "und"
 
@@ -37,6 +38,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _SEPARATORS = bytes(32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter to Unicode; numbers such as \u00b2 or \u2167 are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def vector(text: str) -> np.ndarray:
     """Unit vector over the whole text; bytes below 0x80 that are not letters separate words."""
     raw = b" " + text.lower().encode().translate(_SEPARATORS) + b" "
@@ -87,7 +93,7 @@ class Classifier:
                 self.pairs[a, b] = machine(x[of], np.where(label[of] == a, 1, -1))
 
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.languages or not _LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         x = np.append(vector(text), 1.0)
         family, margin = self.families[0], 4.0
@@ -110,22 +116,32 @@ def remainder() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)), F.lit(0))
 
 
+def share_of(n: int, sample: int) -> float:
+    """The share of n rows that holds `sample` of them with some to spare, so that few are sorted and hardly ever too few."""
+    return min(1.0, (2 * sample + 50) / n)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Learns from text and non-null lang of rows outside the held-out third. Of each language about `sample` rows, chosen by a hash of doc_id, are vectorised where they
-    lie; the driver sees those vectors only (at most 1.2 * sample * languages * WIDTH floats)."""
-    open_rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder() != 1))
-    totals = {r["lang"]: r["n"] for r in open_rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Learns from text and non-null lang of rows outside the held-out third. Of each language the `sample` rows with the smallest hash of doc_id and text are learned from, or all if
+    there are fewer; rows with equal doc_id, lang and text count as one. Only the LANGUAGES most frequent languages are learned (ties by name). They are vectorised where
+    they lie; the driver sees those vectors only (sample * LANGUAGES * WIDTH floats at most). Without such rows nothing is learned."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder() != 1))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not totals:
         return Classifier(np.zeros((0, WIDTH), np.float32), [])
-    share = F.create_map(*(F.lit(v) for lang, n in totals.items() for v in (lang, int(min(1.0, sample / n) * 1_000_000))))
-    chosen = open_rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*(F.lit(v) for lang, n in totals.items() for v in (lang, share_of(n, sample))))
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit("language")))
+    chosen = hashed.where(F.col("lang").isin(list(totals)) & (F.col("h") / F.lit(2.0**64) + 0.5 < share[F.col("lang")])).distinct()
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample)
 
     def make():
-        return lambda lang, text: (lang, vector(text).tobytes() if _LETTER.search(text) else None)
+        return lambda lang, text: (lang, vector(text).tobytes() if has_letter(text) else None)
 
-    rows = [r for r in per_row(chosen, "lang string, x binary", make, "lang", "text").orderBy("lang", "x").collect() if r["x"]]
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), WIDTH)
-    return Classifier(x, [r["lang"] for r in rows])
+    found = [r for r in per_row(chosen, "lang string, x binary", make, "lang", "text").orderBy("lang", "x").collect() if r["x"]]
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.float32).reshape(len(found), WIDTH)
+    return Classifier(x, [r["lang"] for r in found])
 
 
 def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -141,7 +157,8 @@ def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def known_language(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """docs without the rows whose language cannot be told (und): null texts and texts without a letter. All other rows and all columns stay as they are."""
+    """docs without the rows whose language cannot be told (und): null texts and texts without a letter, or all of them if nothing was learned. All other
+    rows, repeated ones and those with null doc_ids too, and all columns stay as they are; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def make():

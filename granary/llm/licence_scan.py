@@ -181,7 +181,9 @@ class Scanner:
             need, chains = len(self.sequences[t]), []
             for start, position, length in found:
                 covered = length
-                for s, p, n, c in chains[-64:]:
+                for s, p, n, c in reversed(chains):  # their ends do not fall
+                    if s + n < start - SKIP:
+                        break
                     gap, skip = start - (s + n), position - (p + n)
                     if -length < gap <= SKIP and -length < skip <= SKIP and s < start and p < position:
                         covered = max(covered, c + length + min(gap, skip, 0))

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model is of random strings, the other of ordinary identifiers; both are trained from labelled samples. A run of key characters that holds a digit
-and a letter is a secret if the first model explains it better than the second by at least THRESHOLD nats.
+and a letter is a secret if the first model explains it better than the second by at least THRESHOLD nats; one without a digit, in which a capital follows a small letter,
+needs LETTERS nats. Other runs are numbers or words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import per_row, table, texts
+from granary.llm.common import change_texts, per_row, table, texts
 
 #: Patterns of the base kinds and the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -26,7 +27,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "markov")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-THRESHOLD = 8.0
+THRESHOLD, LETTERS = 8.0, 16.0
+_MIXED = re.compile(r"[a-z].*[A-Z]")
 
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")  # the maximal runs that are long enough
 _WORDS = ("passw", "secret", "token", "api")
@@ -108,15 +110,24 @@ def markov_spans(text: str, table_: np.ndarray) -> list[tuple[str, int, int]]:
     found = []
     for m in RUN.finditer(text):
         s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and ratio(table_, s) >= THRESHOLD:
+        if any(c.isdigit() for c in s):
+            least = THRESHOLD if any(c.isalpha() for c in s) else None
+        else:
+            least = LETTERS if _MIXED.search(s) else None
+        if least is not None and ratio(table_, s) >= least:
             found.append(("markov", *m.span()))
     return found
 
 
 def scan(text: str, table_: np.ndarray) -> tuple[list, list]:
     """Base spans, and all spans: base ones and those of the models that no base span holds already."""
-    base = base_spans(text)
-    more = [x for x in markov_spans(text, table_) if not any(b[1] <= x[1] and x[2] <= b[2] for b in base)]
+    base, more, at, reach = base_spans(text), [], 0, 0
+    for x in markov_spans(text, table_):  # both are sorted by start; reach: where the base spans that start no later end
+        while at < len(base) and base[at][1] <= x[1]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach < x[2]:
+            more.append(x)
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -141,26 +152,22 @@ def secrets(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = None)
 
 
 def redact(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret span, or each chain of overlapping ones, replaced by mark; n_chars follows. Null texts stay null; documents without secrets stay as
-    they are. doc_id, text, lang, source, n_chars are returned."""
+    """docs with each secret span, or each chain of overlapping ones, replaced by mark; n_chars, where there is such a column, follows. Null texts stay null; documents without
+    secrets, null doc_ids, repeated rows and all other columns stay as they are; an empty table stays empty."""
     models = train(samples or labelled_samples())
 
-    def make():
-        def one(doc_id, text, lang, source, n_chars):
-            spans = scan(text, models)[1] if text else []
-            if not spans:
-                return doc_id, text, lang, source, n_chars
-            kept, at = [], 0
-            for _, s, e in spans:
-                if s >= at:
-                    kept += [text[at:s], mark]
-                at = max(at, e)
-            text = "".join(kept) + text[at:]
-            return doc_id, text, lang, source, len(text)
-
-        return one
-
-    return per_row(docs, "doc_id long, text string, lang string, source string, n_chars long", make, *(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+    def clean(text: str | None) -> str | None:
+        spans = scan(text, models)[1] if text else []
+        if not spans:
+            return text
+        kept, at = [], 0
+        for _, s, e in spans:
+            if s >= at:
+                kept += [text[at:s], mark]
+            at = max(at, e)
+        return "".join(kept) + text[at:]
+
+    return change_texts(docs, lambda: clean)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

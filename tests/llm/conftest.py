@@ -22,7 +22,7 @@ def odd_docs(spark, doc_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(doc_rows, SCHEMA).repartition(3)
-    return df.withColumns({c: F.lit(1) for c in ("fp", "length", "part", "anchor", "row_key", "words", "digest", "key")})
+    return df.withColumns({c: F.lit(1) for c in ("fp", "length", "part", "anchor", "row_key", "words", "digest", "key", "_key", "_row_key", "_id", "_removed", "_again", "row", "removed", "text_hash", "item", "diagonal", "at")})
 
 
 @pytest.fixture(scope="session")
