@@ -25,17 +25,20 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: str, masks: tuple[str, ...]) -> Column:
-    """Array of (key, at, before) of every mask at every place; before: the key at the place before, null at the first."""
+def seeds(rows: DataFrame, hashes: str, masks: tuple[str, ...], *carried: str) -> DataFrame:
+    """The carried columns with key, at (from 1) and before for every mask at every place of the array `hashes`; before: the key at the place before, null at the first. The keys of
+    each mask are columns of their own first, so that they are computed once."""
 
-    def of(mask: str) -> Column:
+    def keys(mask: str) -> Column:
         ones = [i for i, bit in enumerate(mask) if bit == "1"]
         places = F.sequence(F.lit(1), F.size(hashes) - len(mask) + 1)
         key = lambda i: F.xxhash64(F.lit(mask), *(F.get(F.col(hashes), i + (o - 1)) for o in ones))
-        keys = F.transform(places, key)
-        return F.when(F.size(hashes) >= len(mask), F.zip_with(F.arrays_zip(keys.alias("key"), places.alias("at")), F.concat(F.array(F.lit(None).cast("long")), F.slice(keys, 1, F.size(hashes) - len(mask))), lambda s, before: F.struct(s["key"].alias("key"), s["at"].alias("at"), before.alias("before")))).otherwise(F.array())
+        return F.when(F.size(hashes) >= len(mask), F.transform(places, key)).otherwise(F.array().cast("array<long>"))
 
-    return F.concat(*(of(m) for m in masks))
+    names = [f"keys_{i}" for i in range(len(masks))]
+    made = rows.select(*carried, *(keys(m).alias(n) for m, n in zip(masks, names, strict=True)))
+    pairs = [F.transform(F.col(n), lambda k, i, n=n: F.struct(k.alias("key"), (i + 1).alias("at"), F.get(F.col(n), i - 1).alias("before"))) for n in names]
+    return made.select(*carried, F.explode(F.concat(*pairs)).alias("s")).select(*carried, "s.*")
 
 
 def overlap(least: Column) -> Column:
@@ -75,12 +78,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     span = max(map(len, MASKS))
     short = sorted(r[0] for r in items.where(F.size("item") < span).select(F.size("item")).distinct().collect())  # at most span - 1 numbers
     masks = MASKS + tuple("1" * n for n in short if "1" * n not in MASKS)
-    of_items = items.select("item_key", F.explode(seeds("item", masks)).alias("s")).select("item_key", "s.key", F.col("s.at").alias("item_at"), F.col("s.before").alias("item_before"))
-    of_items = materialize(of_items, "seeds")
+    of_items = materialize(seeds(items, "item", masks, "item_key").withColumnsRenamed({"at": "item_at", "before": "item_before"}), "seeds")
     small = of_items.count() <= BROADCAST_SEEDS
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row_key")).where("text is not null")
-    of_docs = rows.select("row_key", word_hashes(F.col("text")).alias("words")).select("row_key", F.explode(seeds("words", masks)).alias("s")).select("row_key", "s.*")
+    of_docs = seeds(rows.select("row_key", word_hashes(F.col("text")).alias("words")), "words", masks, "row_key")
     first = F.expr("before is null or item_before is null or before <> item_before")
     hits = of_docs.join(F.broadcast(of_items) if small else of_items, "key").where(first).select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = materialize(hits, "hits")
