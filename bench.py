@@ -40,11 +40,17 @@ def main() -> None:
     # the published micro-benchmark's shape: bulk load, point and range lookups on a keyed table of 100,000 rows
     rows = spark.range(100_000).selectExpr("cast(id as int) id", "cast(id % 250 as int) country_id", "cast(id % 180 as float) latitude", "cast(id % 360 as float) longitude", "concat('city ', id) name")
     columns = {"id": "int", "country_id": "int", "latitude": "float", "longitude": "float", "name": "char(40)"}
-    for how in ("btree", "sequential"):
-        table = Table.create(spark, f"file://{folder}/tables", f"cities_{how}", columns, primary_key="id", pk_index_type=how)
+    keys = [(7919 * i) % 100_000 for i in range(200)]
+    for how in ("btree", "sequential", "hash"):
+        table = Table.create(spark, f"file://{folder}/tables", f"cities_{how}", columns, primary_key="id", pk_index_type="sequential" if how == "sequential" else "btree")
+        if how == "hash":
+            table.drop_index("id")
+            table.create_index("id", "hash")
         timed(f"load_100k_{how}", lambda t=table: t.insert_frame(rows, "id"))
         table.select("id", 7).collect()
         timed(f"point_lookup_{how}", lambda t=table: t.select("id", 54_321).collect())
+        table.select_many("id", keys).collect()
+        timed(f"lookups_200_{how}", lambda t=table: t.select_many("id", keys).collect())
         timed(f"range_500_{how}", lambda t=table: t.select_range("id", 40_000, 40_500).collect())
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rpartition("sf")[2]}))
     spark.stop()

@@ -45,8 +45,8 @@ def compare(c: Column | str, kind: str, op: str, value: object) -> Column:
     if not comparable(kind, value):
         return F.lit(False)
     if kind == "int" and isinstance(value, float) and value != math.floor(value):
-        if op in ("=", "!="):
-            return F.lit(op == "!=")
+        if op in ("=", "!="):  # no whole number equals it; nulls match nothing
+            return c.isNotNull() if op == "!=" else F.lit(False)
         op, value = ("<=", math.floor(value)) if op in ("<", "<=") else (">=", math.ceil(value))
     lit = F.lit(float(value)).cast("float") if kind == "float" else F.lit({"char": str, "double": float, "int": int}[kind](value))
     return {"=": c == lit, "!=": c != lit, "<": c < lit, ">": c > lit, "<=": c <= lit, ">=": c >= lit}[op]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.storage import settle
+from granary.sources.storage import discard, settle
 
 #: Operations that a transaction's flow shows.
 FLOW = ("BEGIN", "SEARCH", "INSERT", "DELETE", "RANGE_SEARCH", "COMMIT", "ABORT", "ERROR")
@@ -75,20 +75,75 @@ def totals(log: DataFrame) -> DataFrame:
 
 
 def timeline(log: DataFrame) -> DataFrame:
-    when = F.date_format(F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")), "HH:mm:ss.SSS")
-    return log.orderBy("seq").select("seq", F.concat(F.lit("["), when, F.lit("] TX"), F.lpad(F.col("tx_id").cast("string"), 2, " "), F.lit("  "), F.rpad("op", 15, " "), F.lit(" "), "detail").alias("line"))
-
-
-def cycles(edges: DataFrame, depth: int = 40) -> DataFrame:
-    """node: those that wait, over at most depth others, for themselves. edges: (waiter, holder) longs."""
-    edges = edges.select(F.col("waiter").cast("long"), F.col("holder").cast("long")).where("waiter IS NOT NULL AND holder IS NOT NULL").distinct()
-    reach = edges.select("waiter", "holder")
-    steps = 1
-    while steps < depth:  # each round doubles the length of the paths that are known
+    """seq, line: the log in order of arrival, a line for each entry."""
+    when = F.date_format(F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("long")), "HH:mm:ss.SSS")
+    tx = F.col("tx_id").cast("string")
+    return log.orderBy("seq").select("seq", F.concat(F.lit("["), when, F.lit("] TX"), F.lpad(tx, F.greatest(F.length(tx), F.lit(2)), F.lit(" ")), F.lit("  "), F.rpad("op", 15, " "), F.lit(" "), "detail").alias("line"))
+
+
+#: Edges that may be on cycles and are looked at by the driver, at most (16 bytes each); more are left to joins.
+CORE_EDGES = 200_000
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """node: those that wait, directly or over any number of others, for themselves. edges: (waiter, holder) longs; nulls are no edges.
+
+    What waits for nobody, or is waited for by nobody, is on no cycle: such nodes go, again and again, until all that are left wait and are waited for. That core is small where locks
+    time out: up to CORE_EDGES the driver finds its strongly connected components; a larger one is searched by joins that double the length of the known paths until
+    nothing new is reached. Both tell all cycles, however long.
+    """
+    spark = edges.sparkSession
+    core = settle(edges.select(F.col("waiter").cast("long"), F.col("holder").cast("long")).where("waiter IS NOT NULL AND holder IS NOT NULL").distinct(), "edges")
+    n = core.count()
+    while n > CORE_EDGES:
+        kept = settle(core.join(core.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").join(core.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "holder"), "core")
+        before, (core, n) = (core, n), (kept, kept.count())
+        discard(before[0])
+        if n == before[1]:
+            break
+    if n <= CORE_EDGES:
+        found = on_cycles([(r[0], r[1]) for r in core.collect()])
+        return spark.createDataFrame([(x,) for x in found], "node long")
+    reach, size = core, n
+    while True:
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.holder") == F.col("b.waiter")).select(F.col("a.waiter"), F.col("b.holder"))
         reach = settle(reach.union(longer).distinct(), "reach")
-        steps *= 2
-    return reach.where("waiter = holder").select(F.col("waiter").alias("node")).distinct()
+        if size == (size := reach.count()):
+            return reach.where("waiter = holder").select(F.col("waiter").alias("node")).distinct()
+
+
+def on_cycles(edges: list[tuple[int, int]]) -> list[int]:
+    """The nodes of strongly connected components of several nodes, and those that wait for themselves. Finish order forwards, then components backwards; no recursion."""
+    ahead, back = {}, {}
+    for u, v in edges:
+        ahead.setdefault(u, []).append(v)
+        back.setdefault(v, []).append(u)
+    order, seen = [], set()
+    for start in ahead:
+        stack = [] if start in seen else [(start, iter(ahead[start]))]
+        seen.add(start)
+        while stack:
+            node, rest = stack[-1]
+            for other in rest:
+                if other not in seen:
+                    seen.add(other)
+                    stack.append((other, iter(ahead.get(other, ()))))
+                    break
+            else:
+                order.append(node)
+                stack.pop()
+    found, done = {u for u, v in edges if u == v}, set()
+    for root in reversed(order):
+        if root not in done:
+            done.add(root)
+            part = [root]
+            for node in part:  # grows while it is read
+                new = [x for x in back.get(node, ()) if x not in done]
+                done.update(new)
+                part += dict.fromkeys(new)
+            if len(part) > 1:
+                found.update(part)
+    return sorted(found)
 
 
 def report(log: DataFrame) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.engine import Database
 from granary.functions import kernels as K
 from granary.operators import changes, spatial, txlog
-from granary.plans.tables import RID, Table
+from granary.plans.tables import RID, Mounted, Table
 from granary.sources.csv_files import read_csv
 from granary.sources.storage import scratch
 
@@ -90,13 +90,19 @@ def knn(offset: int) -> Query:
 
 
 def point_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where((F.col("l_quantity") == 25) & (F.col("l_discount") == 0.05))
-    return rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    rows = rows.withColumns({"x": F.col("l_quantity").cast("float"), "y": F.col("l_discount").cast("float")})
+    found = Mounted("lines", rows, "key", {"at": ["x", "y"]}).select_point("at", 25, 0.05)
+    return found.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 
 def spatial_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON envelope, read back: a row for each result."""
     found = spatial.nearest(places(spark, sf_dir), "loc_x", "loc_y", 0, 0, 3, ["vec_id"])
-    return spatial.points_json(found, "loc_x", "loc_y", "vec_id", 0, 0)
+    text = spatial.points_json(found, "loc_x", "loc_y", "vec_id", 0, 0)
+    shape = "struct<query_point: struct<x: double, y: double, color: string>, results: array<struct<x: float, y: float, rid: long, distance: double, color: string>>, total: long>"
+    e = text.select(F.from_json("envelope", F.lit(shape)).alias("e")).select("e.*", F.posexplode("e.results").alias("nth", "r"))
+    return e.select(F.col("query_point.x").alias("query_x"), F.col("query_point.color").alias("query_color"), "total", F.col("nth").cast("long").alias("nth"), F.col("r.rid").alias("rid"), F.col("r.distance").alias("distance"), F.col("r.color").alias("color"))
 
 
 def cell_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +116,9 @@ def filter_eq_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 bytes of each text; a character that is cut there (U+FFFD) is taken off, since SQL has no bytes that are half a character."""
     rows = read(spark, sf_dir, "documents").select("doc_id", K.truncate_bytes("text", 40).alias("t"))
-    return rows.select("doc_id", F.length(F.regexp_replace("t", "�", "")).cast("long").alias("n_chars"))
+    return rows.select("doc_id", F.regexp_replace("t", "\ufffd$", "").alias("t"))
 
 
 def ordered(table: str, order: list[str], *columns: str, where: str | None = None) -> Query:
@@ -162,7 +169,7 @@ def log_of(spark: SparkSession, sf_dir: str, ops: dict[str, str]) -> DataFrame:
     """The events table read as a transaction log; event types without an operation have none."""
     op = F.create_map(*(F.lit(x) for kv in ops.items() for x in kv))[F.col("event_type")]
     e = read(spark, sf_dir, "events")
-    ts = F.unix_micros(F.to_timestamp("ts")) / 1e6
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return e.select(F.col("event_id").alias("seq"), ts.alias("ts"), F.col("user_id").alias("tx_id"), F.coalesce(op, F.lit("BEGIN")).alias("op"), F.concat(F.lit("page="), F.col("event_id") % 500).alias("detail"), (F.col("event_id") % 500).alias("page"))
 
 
@@ -174,12 +181,17 @@ def tx_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txlog.conflicts(log_of(spark, sf_dir, ACCESS))
 
 
+#: A log in which transactions lock, write and fail.
+TROUBLE = {"click": "LOCK_X", "purchase": "WRITE", "view": "LOCK_S", "signup": "ABORT", "error": "ERROR"}
+
+
 def tx_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return txlog.summary(log_of(spark, sf_dir, ACCESS)).select("tx_id", "status", "reads", "writes", "first_seq", "last_seq")
+    return txlog.summary(log_of(spark, sf_dir, TROUBLE)).withColumn("duration_ms", F.round("duration_ms", 1))
 
 
 def tx_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return txlog.totals(log_of(spark, sf_dir, {"error": "ABORT"})).select("aborts")
+    log = log_of(spark, sf_dir, TROUBLE)
+    return txlog.totals(log.withColumn("detail", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("Deadlock: "), "detail")).otherwise(F.col("detail"))))
 
 
 def tx_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +208,7 @@ def lock_contention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deadlock_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return txlog.cycles(e.select((F.col("user_id") % 40).alias("waiter"), ((F.col("user_id") * F.col("user_id") + 1) % 40).alias("holder")), 40)
+    return txlog.cycles(e.select(F.col("user_id").alias("waiter"), ((F.col("user_id") * F.col("user_id") + 1) % 150).alias("holder")))
 
 
 def laid_out(name: str, columns: dict[str, str], source: Callable[[SparkSession, str], DataFrame], points: dict[str, list[str]] | None = None, how: str = "btree", index: tuple | None = None) -> Callable[[SparkSession, str], Table]:
@@ -238,21 +250,72 @@ def delete_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.frame().drop(RID).select("o_orderkey", "o_orderstatus")
 
 
+def nations(spark: SparkSession, sf_dir: str, how: str = "btree") -> tuple[Database, Table]:
+    """A database of its own with the nations as a stored table."""
+    root = scratch(spark, "tables")
+    db = Database(spark, root)
+    done = db.execute(f"CREATE TABLE nations (n_nationkey INT PRIMARY KEY INDEX {how.upper()}, n_name VARCHAR(25), n_regionkey INT)")
+    assert done["success"], done
+    table = db.table("nations")
+    table.insert_frame(read(spark, sf_dir, "nation"), "n_nationkey")
+    return Database(spark, root), table
+
+
+def through(how: str, text: str) -> Query:
+    """The nations after a program of the dialect has run over the stored table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db, _ = nations(spark, sf_dir, how)
+        done = db.execute(text)
+        assert done["success"], done
+        return db.sql("SELECT * FROM nations")
+
+    return run
+
+
+def table_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, table = nations(spark, sf_dir)
+    return spark.createDataFrame([(table.recount(), table.count(), table.spec.record_count)], "recounted long, counted long, kept long")
+
+
+def index_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash index made and dropped again: whether it is there, and the rows that the same lookup gives each time."""
+    _, table = nations(spark, sf_dir)
+    rows = []
+    for step, change in (("before", lambda: None), ("made", lambda: table.create_index("n_regionkey", "hash")), ("dropped", lambda: table.drop_index("n_regionkey"))):
+        change()
+        rows.append((step, table.has_index("n_regionkey"), table.select("n_regionkey", 2).count(), table.select_many("n_regionkey", [1, 2, 77]).count()))
+    return spark.createDataFrame(rows, "step string, there boolean, n long, n_many long")
+
+
+def knn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = gridded(spark, sf_dir)
+    found = table.near(0.1, -0.1, k=7, point="loc")
+    return found.select("vec_id", F.round("_distance", 6).alias("distance"))
+
+
+def order_by_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialect's ORDER BY, with WHERE; the place of each row is read off the sorted result, which is one partition at most of a few thousand rows."""
+    rows = database(spark, sf_dir).sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice")
+    return rows.coalesce(1).withColumn("pos", F.monotonically_increasing_id() + 1)
+
+
 _X, _Y = "CAST(embedding[1] AS DOUBLE)", "CAST(embedding[2] AS DOUBLE)"
 _NEAR = f"SELECT vec_id, round(sqrt({_X} * {_X} + {_Y} * {_Y}), 6) AS distance FROM embeddings"
 _ACCESS_SQL = "SELECT *, event_id % 500 AS page, CASE event_type WHEN 'click' THEN 'WRITE' WHEN 'purchase' THEN 'WRITE' WHEN 'view' THEN 'READ' WHEN 'signup' THEN 'COMMIT' WHEN 'error' THEN 'ERROR' ELSE 'BEGIN' END AS op FROM events"
-_EDGES = "SELECT DISTINCT user_id % 40 AS a, (user_id * user_id + 1) % 40 AS b FROM events"
+_EDGES = "SELECT DISTINCT user_id AS a, (user_id * user_id + 1) % 150 AS b FROM events"
+_TROUBLE_SQL = "SELECT *, event_id % 500 AS page, CASE event_type WHEN 'click' THEN 'LOCK_X' WHEN 'purchase' THEN 'WRITE' WHEN 'view' THEN 'LOCK_S' WHEN 'signup' THEN 'ABORT' WHEN 'error' THEN 'ERROR' ELSE 'BEGIN' END AS op FROM events"
 
 #: name -> (query, SQL or None)
 OTHERS: dict[str, tuple[Query, str | None]] = {
     "filter_eq_float32": (filter_eq_float32, "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE CAST(l_discount AS FLOAT) = CAST(0.05 AS FLOAT)"),
-    "truncated_text": (truncated_text, None),
+    "truncated_text": (truncated_text, "SELECT doc_id, substring(text, 1, len([i for i in range(1, least(length(text), 40) + 1) if strlen(substring(text, 1, CAST(i AS INT))) <= 40])) AS t FROM documents"),
     "radius_small": (radius_sql, f"{_NEAR} WHERE sqrt({_X} * {_X} + {_Y} * {_Y}) <= 0.05"),
     "radius_large": (radius_large, "SELECT l_orderkey, l_linenumber, round(sqrt((l_quantity - 25) * (l_quantity - 25) + (l_extendedprice / 1000 - 50) * (l_extendedprice / 1000 - 50)), 6) AS distance FROM lineitem WHERE sqrt((l_quantity - 25) * (l_quantity - 25) + (l_extendedprice / 1000 - 50) * (l_extendedprice / 1000 - 50)) <= 2.5"),
     "knn": (knn(0), f"{_NEAR} ORDER BY sqrt({_X} * {_X} + {_Y} * {_Y}), vec_id LIMIT 5"),
     "knn_paged": (knn(5), f"{_NEAR} ORDER BY sqrt({_X} * {_X} + {_Y} * {_Y}), vec_id LIMIT 5 OFFSET 5"),
     "point_exact": (point_exact, "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity = 25 AND l_discount = 0.05"),
-    "spatial_envelope": (spatial_envelope, None),
+    "spatial_envelope": (spatial_envelope, f"SELECT 0.0::DOUBLE AS query_x, 'red' AS query_color, CAST(3 AS BIGINT) AS total, row_number() OVER (ORDER BY sqrt({_X} * {_X} + {_Y} * {_Y}), vec_id) - 1 AS nth, vec_id AS rid, round(sqrt({_X} * {_X} + {_Y} * {_Y}), 6) AS distance, 'blue' AS color FROM embeddings ORDER BY nth LIMIT 3"),
     "cell_extents": (cell_extents, f"SELECT CAST(floor({_X} / 0.25) AS BIGINT) AS cx, CAST(floor({_Y} / 0.25) AS BIGINT) AS cy, min({_X}) AS min_x, min({_Y}) AS min_y, max({_X}) AS max_x, max({_Y}) AS max_y, count(*) AS n FROM embeddings GROUP BY 1, 2"),
     "order_by": (ordered("orders", ["o_totalprice", "o_orderkey"], "o_orderkey", "o_totalprice"), "SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos, o_orderkey, o_totalprice FROM orders"),
     "order_by_string": (ordered("customer", ["c_name", "c_custkey"], "c_custkey", "c_name"), "SELECT row_number() OVER (ORDER BY c_name, c_custkey) AS pos, c_custkey, c_name FROM customer"),
@@ -264,15 +327,24 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     "row_count": (row_count, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in KEYS)),
     "csv_roundtrip": (csv_roundtrip, "SELECT c_custkey, c_name, c_nationkey, round(CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE), 2) AS c_acctbal, c_mktsegment FROM customer"),
     "tx_conflicts": (tx_conflicts, f"SELECT page, CASE WHEN bool_and(op = 'WRITE') THEN 'W-W' ELSE 'R-W' END AS kind, array_to_string(list_sort(list(DISTINCT user_id)), ',') AS transactions FROM ({_ACCESS_SQL}) WHERE op IN ('READ', 'WRITE') GROUP BY page HAVING count(DISTINCT user_id) > 1 AND bool_or(op = 'WRITE')"),
-    "tx_summary": (tx_summary, f"SELECT user_id AS tx_id, CASE WHEN bool_or(op = 'COMMIT') THEN 'COMMIT' WHEN bool_or(op = 'ABORT') THEN 'ABORT' ELSE 'ACTIVE' END AS status, count(*) FILTER (op = 'READ') AS reads, count(*) FILTER (op = 'WRITE') AS writes, min(event_id) AS first_seq, max(event_id) AS last_seq FROM ({_ACCESS_SQL}) GROUP BY user_id"),
-    "tx_totals": (tx_totals, "SELECT count(*) FILTER (event_type = 'error') AS aborts FROM events"),
+    "tx_summary": (tx_summary, f"SELECT user_id AS tx_id, CASE WHEN bool_or(op = 'COMMIT') THEN 'COMMIT' WHEN bool_or(op = 'ABORT') THEN 'ABORT' ELSE 'ACTIVE' END AS status, count(*) FILTER (op = 'LOCK_S') AS locks_s, count(*) FILTER (op = 'LOCK_X') AS locks_x, count(*) FILTER (op = 'READ') AS reads, count(*) FILTER (op = 'WRITE') AS writes, min(event_id) AS first_seq, max(event_id) AS last_seq, round((epoch_us(arg_max(ts, event_id)) - epoch_us(arg_min(ts, event_id))) / 1000.0, 1) AS duration_ms FROM ({_TROUBLE_SQL}) GROUP BY user_id"),
+    "tx_totals": (tx_totals, f"SELECT count(*) FILTER (op = 'ERROR' AND event_id % 3 = 0) AS deadlocks, count(*) FILTER (op = 'ABORT') AS aborts FROM ({_TROUBLE_SQL})"),
     "tx_flows": (tx_flows, f"SELECT user_id AS tx_id, string_agg(op || '(page=' || page || ')', ' -> ' ORDER BY event_id) FILTER (op IN ('BEGIN', 'COMMIT', 'ERROR')) AS flow, count(*) FILTER (op = 'ERROR') AS n_errors FROM ({_ACCESS_SQL}) GROUP BY user_id"),
-    "tx_timeline": (tx_timeline, None),
+    "tx_timeline": (tx_timeline, f"SELECT event_id AS seq, '[' || strftime(ts, '%H:%M:%S.%g') || '] TX' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(length(CAST(user_id AS VARCHAR)), 2) AS INT), ' ') || '  ' || rpad(op, 15, ' ') || ' page=' || page AS line FROM ({_ACCESS_SQL})"),
     "lock_contention": (lock_contention, "SELECT page, count(*) AS n_locks, array_to_string(list_sort(list(DISTINCT t)), ',') AS lock_types, array_to_string(list_sort(list(DISTINCT user_id)), ',') AS transactions, count(DISTINCT user_id) > 1 AND bool_or(t = 'X') AS contended FROM (SELECT *, event_id % 500 AS page, CASE WHEN event_type = 'view' THEN 'S' ELSE 'X' END AS t FROM events WHERE event_type IN ('click', 'purchase', 'view')) GROUP BY page"),
     "deadlock_cycle": (deadlock_cycle, f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT DISTINCT a AS node FROM r WHERE a = b"),
     "lookup_bucketed": (lookup_bucketed, "SELECT CAST(o_orderkey AS INT) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'"),
     "lookup_clustered": (lookup_clustered, "SELECT CAST(o_orderkey AS INT) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 1000 AND 1050"),
     "lookup_grid": (lookup_grid, f"SELECT CAST(vec_id AS INT) AS vec_id, distance FROM ({_NEAR} WHERE sqrt({_X} * {_X} + {_Y} * {_Y}) <= 0.05)"),
+    "insert_program": (through("btree", "INSERT INTO nations VALUES (100, 'ATLANTIS', 4); INSERT INTO nations VALUES (7, 'AGAIN', 1)"), "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation UNION ALL SELECT 100, 'ATLANTIS', 4 UNION ALL SELECT 7, 'AGAIN', 1"),
+    "upsert_program": (through("sequential", "INSERT INTO nations VALUES (100, 'ATLANTIS', 4); INSERT INTO nations VALUES (7, 'AGAIN', 1)"), "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 100, 'ATLANTIS', 4 UNION ALL SELECT 7, 'AGAIN', 1"),
+    "delete_program": (through("btree", "DELETE FROM nations WHERE n_regionkey = 2; DELETE FROM nations WHERE n_name = 'FRANCE'"), "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation WHERE n_regionkey <> 2 AND n_name <> 'FRANCE'"),
+    "delete_clustered": (through("sequential", "INSERT INTO nations VALUES (7, 'AGAIN', 1); DELETE FROM nations WHERE n_nationkey = 7"), "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation WHERE n_nationkey <> 7"),
+    "table_recount": (table_recount, "SELECT count(*) AS recounted, count(*) AS counted, count(*) AS kept FROM nation"),
+    "index_lifecycle": (index_lifecycle, "SELECT step, step = 'made' AS there, (SELECT count(*) FROM nation WHERE n_regionkey = 2) AS n, (SELECT count(*) FROM nation WHERE n_regionkey IN (1, 2)) AS n_many FROM (VALUES ('before'), ('made'), ('dropped')) t(step)"),
+    "knn_program": (lambda spark, sf_dir: database(spark, sf_dir).sql("SELECT * FROM places WHERE loc IN (POINT(0, 0), K 5)").select("vec_id", F.round("_distance", 6).alias("distance")), f"{_NEAR} ORDER BY sqrt({_X} * {_X} + {_Y} * {_Y}), vec_id LIMIT 5"),
+    "knn_grid": (knn_grid, f"SELECT CAST(vec_id AS INT) AS vec_id, round(sqrt(({_X} - 0.1) * ({_X} - 0.1) + ({_Y} + 0.1) * ({_Y} + 0.1)), 6) AS distance FROM embeddings ORDER BY sqrt(({_X} - 0.1) * ({_X} - 0.1) + ({_Y} + 0.1) * ({_Y} + 0.1)), vec_id LIMIT 7"),
+    "order_by_program": (order_by_program, "SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'"),
     "delete_layout": (delete_layout, "SELECT CAST(o_orderkey AS INT) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'"),
 }
 

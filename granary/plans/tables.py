@@ -47,6 +47,7 @@ class Spec:
     record_count: int = 0
     next_rid: int = 0
     parts: list[dict] = field(default_factory=list)
+    version: int = 0
 
     @classmethod
     def of(cls, stored: dict) -> Spec:
@@ -122,7 +123,12 @@ class Table:
         return cls(spark, root, name, Spec.of(files.load(f"{name}/catalog.json")))
 
     def save(self) -> None:
-        self.files.store(self.catalog_file, asdict(self.spec))
+        """Replaces the catalog file. If another writer has done so since this table was opened, that is a RuntimeError, and its change stays."""
+        there = self.files.load(self.catalog_file).get("version", 0) if self.files.exists(self.catalog_file) else 0
+        if there != self.spec.version:
+            raise RuntimeError(f"table {self.name!r} was changed by another writer; open it again")
+        self.files.store(self.catalog_file, asdict(self.spec) | {"version": there + 1})
+        self.spec.version = there + 1
 
     # ---- reading
 
@@ -148,6 +154,8 @@ class Table:
         rows = self.spark.read.schema(schema).parquet(self.files.at(f"{self.name}/{part['path']}"))
         if prune and layout["kind"] == "hash" and layout["by"] in prune and "equal" in prune[layout["by"]]:
             rows = rows.where(F.col("_bucket") == self._bucket(F.lit(prune[layout["by"]]["equal"]).cast(SPARK_TYPES[self.spec.kind(layout["by"])]), layout["buckets"]))
+        if prune and layout["kind"] == "hash" and "among" in prune.get(layout["by"], {}):
+            rows = rows.where(F.col("_bucket").isin([self._bucket(F.lit(v).cast(SPARK_TYPES[self.spec.kind(layout["by"])]), layout["buckets"]) for v in prune[layout["by"]]["among"]]))
         if prune and layout["kind"] == "grid" and "circle" in prune and prune["circle"]["by"] == layout["by"]:
             rows = rows.where(spatial.cells_around(prune["circle"], layout))
         return rows.select(*self.spec.columns, RID)
@@ -184,6 +192,15 @@ class Table:
     def select(self, column: str, value: Any, limit: int | None = None, offset: int = 0) -> DataFrame:
         return self._page(self.matching(column, "=", value), [RID], limit, offset)
 
+    def select_many(self, column: str, values: list[Any]) -> DataFrame:
+        """Rows whose column equals any of the values, in one job: the values reach the reader, and a hash layout reads their buckets alone."""
+        kind = self._check_column(column)
+        values = [v for v in values if K.comparable(kind, v) and not (kind == "int" and v != int(v))]
+        if not values:
+            return self.frame().where(F.lit(False)).select(*self.spec.columns)
+        typed = [F.lit(v).cast(SPARK_TYPES[kind]) for v in values]
+        return self.frame({column: {"among": values}}).where(F.col(column).isin(typed)).select(*self.spec.columns)
+
     def select_range(self, column: str, begin: Any, end: Any, limit: int | None = None, offset: int = 0) -> DataFrame:
         """In key order."""
         return self._page(self.frame().where(K.between(column, self._check_column(column), begin, end)), [column, RID], limit, offset)
@@ -217,7 +234,22 @@ class Table:
         x, y = self._axes(point) if isinstance(point, str) else self._axes(*point)
         if radius is not None:
             return spatial.within(self.frame({"circle": {"by": [x, y], "x": cx, "y": cy, "r": radius}}), x, y, cx, cy, radius, [RID], limit, offset)
-        return spatial.nearest(self.frame(), x, y, cx, cy, k or 0, [RID], limit, offset)
+        wide = self._radius_with(x, y, cx, cy, (k or 0) + offset)
+        rows = self.frame() if wide is None else self.frame({"circle": {"by": [x, y], "x": cx, "y": cy, "r": wide}}).where(K.box(x, y, cx, cy, wide))
+        return spatial.nearest(rows, x, y, cx, cy, k or 0, [RID], limit, offset)
+
+    def _radius_with(self, x: str, y: str, cx: float, cy: float, n: int) -> float | None:
+        """A radius within which n rows lie, found by widening a circle over the cells of a grid; None: look at all rows."""
+        grids = [p["layout"] for p in self.spec.parts]
+        if n <= 0 or not grids or any(g["kind"] != "grid" or g["by"] != [x, y] for g in grids):
+            return None
+        radius = max(max(g["sides"]) for g in grids)
+        for _ in range(max(g["tiles"] for g in grids).bit_length()):
+            near = self.frame({"circle": {"by": [x, y], "x": cx, "y": cy, "r": radius}}).where(K.box(x, y, cx, cy, radius)).where(K.distance(x, y, cx, cy) <= radius)
+            if near.limit(n).count() >= n:
+                return radius
+            radius *= 2
+        return None
 
     def select_radius(self, point, cx: float, cy: float, radius: float, limit: int = 0, offset: int = 0) -> DataFrame:
         return self.near(cx, cy, radius=radius, point=point, limit=limit, offset=offset).select(*self.spec.columns)
@@ -227,7 +259,7 @@ class Table:
 
     def select_point(self, point, px: float, py: float, limit: int = 0, offset: int = 0) -> DataFrame:
         x, y = self._axes(point) if isinstance(point, str) else self._axes(*point)
-        return self._page(self.frame().where(spatial.at(x, y, px, py)), [RID], limit or None, offset)
+        return self._page(self.frame({"circle": {"by": [x, y], "x": px, "y": py, "r": 0.0}}).where(spatial.at(x, y, px, py)), [RID], limit or None, offset)
 
     def envelope(self, point, cx: float, cy: float, *, radius: float | None = None, k: int | None = None, limit: int = 0, offset: int = 0) -> dict:
         x, y = self._axes(point) if isinstance(point, str) else self._axes(*point)
@@ -262,7 +294,8 @@ class Table:
         """Appends the physical columns of rows. order: a column of unique longs that says in which order they arrive."""
         base = self.spec.next_rid
         numbered = rows.select(*(self._stored(c) for c in self.spec.columns), (F.lit(base) + (F.col(order) if order else F.monotonically_increasing_id())).alias(RID))
-        part = self._write(numbered, self.spec.layout(), None)
+        layout = self.spec.layout()
+        part = self._write(numbered, layout, None if layout["kind"] == "range" else rows.agg(F.count(F.struct(*self.spec.columns))).first()[0])  # buckets and cells follow the number of rows
         written = self._part(part, None).agg(F.count("*"), F.max(RID)).first()
         if written[0]:
             self._commit([*self.spec.parts, part], written[0] if not self.spec.clustered else None, written[1] + 1)
@@ -298,12 +331,27 @@ class Table:
         return {"path": path, "layout": layout}
 
     def delete(self, column: str, value: Any) -> int:
-        """Rows whose column equals the value go; their number. The rest is written anew."""
+        """Rows whose column equals the value go; their number. Parts that hold none of them stay as they are; the others are written anew. A clustered table of several parts is
+        compacted, since a part may hold older rows of a key."""
         kind = self._check_column(column)
-        before, rows = self.spec.record_count, self.frame()
-        gone = rows.where(K.compare(column, kind, "=", value)).count()
+        condition, before = K.compare(column, kind, "=", value), self.spec.record_count
+        if self.spec.clustered and len(self.spec.parts) > 1:
+            rows = self.frame()
+            gone = rows.where(condition).count()
+            if gone:
+                self._rewrite(rows.where(~F.coalesce(condition, F.lit(False))), before - gone)
+            return gone
+        parts, gone = [], 0
+        for part in self.spec.parts:
+            rows = self._part(part, None)
+            n = rows.where(condition).count()
+            if n:
+                left = rows.where(~F.coalesce(condition, F.lit(False)))
+                part = self._write(left, {k: v for k, v in part["layout"].items() if k in ("kind", "by")}, max(1, before - gone - n))
+            parts, gone = [*parts, part], gone + n
         if gone:
-            self._rewrite(rows.where(~F.coalesce(K.compare(column, kind, "=", value), F.lit(False))), before - gone)
+            self.spec.parts, self.spec.record_count = parts, before - gone
+            self.save()
         return gone
 
     def _rewrite(self, rows: DataFrame, n: int) -> None:

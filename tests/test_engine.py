@@ -213,3 +213,35 @@ def test_pruning(spark, tmp_path, db):
 def _parquet(spark, tmp_path):
     spark.range(50).selectExpr("id", "id / 2 AS half", "id % 3 AS third").write.parquet(f"{tmp_path}/numbers")
     return f"{tmp_path}/numbers"
+
+
+def test_another_writer_is_noticed(spark, tmp_path):
+    from granary.plans.tables import Table
+
+    root = f"file://{tmp_path}/tables"
+    one = Table.create(spark, root, "t", {"id": "int", "v": "float"}, primary_key="id")
+    two = Table.open(spark, root, "t")
+    one.insert({"id": 1, "v": 1})
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.insert({"id": 2, "v": 2})
+    assert [tuple(r) for r in Table.open(spark, root, "t").scan().collect()] == [(1, 1.0)]
+
+
+def test_deletes_leave_other_parts_alone(spark, tmp_path):
+    from granary.plans.tables import Table
+
+    table = Table.create(spark, f"file://{tmp_path}/tables", "t", {"id": "int", "v": "float"}, primary_key="id")
+    for k in range(3):
+        table.insert_frame(spark.range(10 * k, 10 * k + 10).selectExpr("id", "id v"), "id")
+    before = [p["path"] for p in table.spec.parts]
+    assert table.delete("id", 15) == 1 and table.delete("id", 99) == 0
+    after = [p["path"] for p in table.spec.parts]
+    assert after[0] == before[0] and after[2] == before[2] and after[1] != before[1]
+    assert table.count() == table.spec.record_count == 29 and sorted(r[0] for r in table.select_many("id", [3, 15, 16, 16.5, "x", 99]).collect()) == [3, 16]
+
+
+def test_a_fraction_is_unlike_every_whole_number(spark):
+    from granary.functions import kernels as K
+
+    rows = spark.createDataFrame([(1,), (None,)], "n int")
+    assert [r[0] for r in rows.where(K.compare("n", "int", "!=", 1.5)).collect()] == [1] and rows.where(K.compare("n", "int", "=", 1.5)).count() == 0

@@ -94,3 +94,14 @@ def test_tail(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["page"], r["n_locks"]) for r in spark.table("contended").collect()] == [(0, 2)]
+
+
+def test_cycles_of_any_length(spark, monkeypatch):
+    """A cycle of 150, chains into it and out of it, two cycles that meet; by the driver and by joins."""
+    ring = [(i, (i + 1) % 150) for i in range(150)]
+    pairs = [*ring, *((1000 + i, 1001 + i) for i in range(40)), (1040, 5), (9, 2000), (2000, 2001), (3000, 3001), (3001, 3002), (3002, 3000), (3001, 3003), (3003, 3001), (4000, 4000), (None, 1), (1, None)]
+    edges, want = spark.createDataFrame(pairs, "waiter long, holder long"), [*range(150), 3000, 3001, 3002, 3003, 4000]
+    assert sorted(r[0] for r in txlog.cycles(edges).collect()) == want
+    monkeypatch.setattr(txlog, "CORE_EDGES", 10)
+    assert sorted(r[0] for r in txlog.cycles(edges).collect()) == want
+    assert txlog.cycles(edges.limit(0)).count() == 0
