@@ -295,7 +295,7 @@ class Table:
         base = self.spec.next_rid
         numbered = rows.select(*(self._stored(c) for c in self.spec.columns), (F.lit(base) + (F.col(order) if order else F.monotonically_increasing_id())).alias(RID))
         layout = self.spec.layout()
-        part = self._write(numbered, layout, None if layout["kind"] == "range" else rows.agg(F.count(F.struct(*self.spec.columns))).first()[0])  # buckets and cells follow the number of rows
+        part = self._write(numbered, layout, None if layout["kind"] == "range" else rows.agg(F.count("*"), F.max(F.xxhash64(*self.spec.columns))).first()[0])  # buckets and cells follow the number of rows; a CSV reader counts only what it also reads
         written = self._part(part, None).agg(F.count("*"), F.max(RID)).first()
         if written[0]:
             self._commit([*self.spec.parts, part], written[0] if not self.spec.clustered else None, written[1] + 1)
