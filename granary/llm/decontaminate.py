@@ -37,8 +37,11 @@ def seeds(rows: DataFrame, hashes: str, masks: tuple[str, ...], *carried: str) -
 
     names = [f"keys_{i}" for i in range(len(masks))]
     made = rows.select(*carried, *(keys(m).alias(n) for m, n in zip(masks, names, strict=True)))
-    pairs = [F.transform(F.col(n), lambda k, i, n=n: F.struct(k.alias("key"), (i + 1).alias("at"), F.get(F.col(n), i - 1).alias("before"))) for n in names]
-    return made.select(*carried, F.explode(F.concat(*pairs)).alias("s")).select(*carried, "s.*")
+
+    def placed(name: str) -> Column:
+        return F.transform(name, lambda k, i: F.struct(k.alias("key"), (i + 1).alias("at"), F.get(F.col(name), i - 1).alias("before")))
+
+    return made.select(*carried, F.explode(F.concat(*map(placed, names))).alias("s")).select(*carried, "s.*")
 
 
 def overlap(least: Column) -> Column:
