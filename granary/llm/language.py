@@ -61,7 +61,7 @@ def vector(text: str) -> np.ndarray:
 
 def machine(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
     """Weights, the last one the bias, of a linear support vector machine for labels -1 and 1; both sides count alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     rng, w, total, t = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     for _ in range(EPOCHS):

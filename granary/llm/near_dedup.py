@@ -230,7 +230,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     def grouped(rows_: DataFrame, roots: DataFrame) -> DataFrame:
         return rows_.join(roots.toDF("id", "root"), "id", "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("group"))
 
-    roots = materialize(components(edges), "roots")
+    roots = components(edges)
     now, few = grouped(met, roots), False
     for turn in range(ROUNDS + 1):
         sizes = now.groupBy("key", "group").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "n", "at", "group"), F.xxhash64("id", F.lit(turn))).alias("h"))

@@ -595,6 +595,29 @@ def test_links_in_dense_groups(spark, monkeypatch, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_components(spark, monkeypatch, one_task):
+    from granary.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (-7, 2000)]
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((root(u), root(v)))
+            parent[b] = a
+    got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_golay_code():
     home, error, near, cost = simhash.golay()
     assert np.bincount(error).tolist() == [4096] * 2048 and near.shape[0] == 2048 and (cost[:, 0] == 0).all()
