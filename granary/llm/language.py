@@ -139,9 +139,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     def make():
         return lambda lang, text: (lang, vector(text).tobytes() if has_letter(text) else None)
 
-    found = [r for r in per_row(chosen, "lang string, x binary", make, "lang", "text").orderBy("lang", "x").collect() if r["x"]]
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.float32).reshape(len(found), WIDTH)
-    return Classifier(x, [r["lang"] for r in found])
+    found = per_row(chosen, "lang string, x binary", make, "lang", "text").where("x is not null").orderBy("lang", "x").toArrow()
+    rows_ = [np.frombuffer(v.as_buffer(), np.float32) for v in found["x"]]
+    x = np.stack(rows_) if rows_ else np.zeros((0, WIDTH), np.float32)
+    return Classifier(x, found["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
