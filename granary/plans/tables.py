@@ -154,7 +154,7 @@ class Table:
         rows = self.spark.read.schema(schema).parquet(self.files.at(f"{self.name}/{part['path']}"))
         if prune and layout["kind"] == "hash" and layout["by"] in prune and "equal" in prune[layout["by"]]:
             rows = rows.where(F.col("_bucket") == self._bucket(F.lit(prune[layout["by"]]["equal"]).cast(SPARK_TYPES[self.spec.kind(layout["by"])]), layout["buckets"]))
-        if prune and layout["kind"] == "hash" and "among" in prune.get(layout["by"], {}):
+        if prune and layout["kind"] == "hash" and 0 < len(prune.get(layout["by"], {}).get("among", ())) <= layout["buckets"]:  # more values than buckets meet nearly all of them
             rows = rows.where(F.col("_bucket").isin([self._bucket(F.lit(v).cast(SPARK_TYPES[self.spec.kind(layout["by"])]), layout["buckets"]) for v in prune[layout["by"]]["among"]]))
         if prune and layout["kind"] == "grid" and "circle" in prune and prune["circle"]["by"] == layout["by"]:
             rows = rows.where(spatial.cells_around(prune["circle"], layout))
@@ -198,7 +198,7 @@ class Table:
         values = [v for v in values if K.comparable(kind, v) and not (kind == "int" and v != int(v))]
         if not values:
             return self.frame().where(F.lit(False)).select(*self.spec.columns)
-        typed = [F.lit(v).cast(SPARK_TYPES[kind]) for v in values]
+        typed = [F.lit(v).cast(SPARK_TYPES[kind]) for v in values] if kind == "float" else [{"int": int, "char": str, "double": float}[kind](v) for v in values]
         return self.frame({column: {"among": values}}).where(F.col(column).isin(typed)).select(*self.spec.columns)
 
     def select_range(self, column: str, begin: Any, end: Any, limit: int | None = None, offset: int = 0) -> DataFrame:
