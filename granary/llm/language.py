@@ -10,6 +10,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def share_of(n: int, sample: int) -> float:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Learns from text and non-null lang of rows outside the held-out third. Of each language the `sample` rows with the smallest hash of doc_id and text are learned from, or all if
     there are fewer; rows with equal doc_id, lang and text count as one. Only the LANGUAGES most frequent languages are learned (ties by name). They are vectorised where
-    they lie; the driver sees those vectors only (sample * LANGUAGES * WIDTH floats at most). Without such rows nothing is learned."""
+    they lie; the driver sees those vectors only, their values other than zero (sample * LANGUAGES * WIDTH of them at most). Without such rows nothing is learned."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder() != 1))
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -137,11 +138,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample)
 
     def make():
-        return lambda lang, text: (lang, vector(text).tobytes() if has_letter(text) else None)
-
-    found = per_row(chosen, "lang string, x binary", make, "lang", "text").where("x is not null").orderBy("lang", "x").toArrow()
-    rows_ = [np.frombuffer(v.as_buffer(), np.float32) for v in found["x"]]
-    x = np.stack(rows_) if rows_ else np.zeros((0, WIDTH), np.float32)
+        def one(lang, nth, text):
+            if not has_letter(text):
+                return lang, nth, None, None
+            x = vector(text)
+            at = np.flatnonzero(x)
+            return lang, nth, at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes()
+
+        return one
+
+    # the rows are put in order here: a sort in Spark would vectorise them twice and send a sample of the vectors to the driver first
+    found = per_row(chosen, "lang string, nth int, at binary, x binary", make, "lang", "nth", "text").where("x is not null").toArrow()
+    found = found.take(pc.sort_indices(found.select(["lang", "nth"]), [("lang", "ascending"), ("nth", "ascending")]))
+    x = np.zeros((len(found), WIDTH), np.float32)
+    for row, at, values in zip(x, found["at"], found["x"], strict=True):
+        row[np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(values.as_buffer(), "<f4")
     return Classifier(x, found["lang"].to_pylist())
 
 
