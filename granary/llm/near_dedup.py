@@ -24,6 +24,8 @@ from granary.llm.graph import components
 SHINGLE, SIMILAR = 5, (4, 5)
 #: One text of so many tells which shingles are frequent; so many of those are known at most. A frequent shingle's postings are dealt to a task for each so many.
 SAMPLED, FREQUENT, DEALT = 16, 500_000, 20_000
+#: Words of the sketch that all texts have at one width.
+WIDE = 8
 #: Rounds of one link for each posting before all pairs are tested: at most so many, and no more once a round has found fewer links than one for so many open postings.
 ROUNDS, FEW = 8, 50
 
@@ -56,9 +58,9 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingles(text))
 
 
-def sketch(held: np.ndarray) -> np.ndarray:
-    """Parities of a set's shingles by their low bits: a power of two of 64-bit words, with at least a bit for each shingle."""
-    n = max(1, 1 << (-(-len(held) // 64) - 1).bit_length())
+def sketch(held: np.ndarray, n: int = 0) -> np.ndarray:
+    """Parities of a set's shingles by their low bits: n 64-bit words, or a power of two of them with at least a bit for each shingle."""
+    n = n or max(1, 1 << (-(-len(held) // 64) - 1).bit_length())
     bit = held & np.uint64(64 * n - 1)
     out = np.zeros(n, np.uint64)
     np.bitwise_xor.at(out, (bit >> np.uint64(6)).astype(np.intp), np.uint64(1) << (bit & np.uint64(63)))
@@ -183,20 +185,20 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     different groups. Once few enough pairs are left, or links have become few, all pairs whose sizes and places let them be similar are tested.
     """
     rows = texts(docs, row_key().alias("row_key"))
-    ddl = "doc_id long, row_key binary, digest binary, n int, fp long, sketch array<long>"
+    ddl = "doc_id long, row_key binary, digest binary, n int, fp long, sketch array<long>, wide array<long>"
 
     def make():
         def one(doc_id, key, text):
             h = shingles(text)
             held = np.unique(h)
             fp = int(simhash.majority(h)) if len(h) else 0
-            return doc_id, key, digest(text), len(held), fp - (1 << 64) if fp >> 63 else fp, sketch(held).view(np.int64).tolist()
+            return doc_id, key, digest(text), len(held), fp - (1 << 64) if fp >> 63 else fp, sketch(held).view(np.int64).tolist(), sketch(held, WIDE).view(np.int64).tolist()
 
         return one
 
     keys = materialize(per_row(rows, ddl, make, "doc_id", "row_key", "text"), "keys")
-    first = F.min(F.struct("row_key", "n", "fp", "sketch"))
-    classes = keys.groupBy("digest").agg(first.alias("f")).select(F.monotonically_increasing_id().alias("id"), "digest", F.col("f.row_key").alias("first"), "f.n", "f.fp", "f.sketch")
+    first = F.min(F.struct("row_key", "n", "fp", "sketch", "wide"))
+    classes = keys.groupBy("digest").agg(first.alias("f")).select(F.monotonically_increasing_id().alias("id"), "digest", F.col("f.row_key").alias("first"), "f.n", "f.fp", "f.sketch", "f.wide")
     classes = materialize(classes, "classes")
 
     def similar_prints() -> DataFrame:
@@ -223,8 +225,9 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     a, b = SIMILAR
     may = (b * F.least("a.n", "b.n") >= a * F.greatest("a.n", "b.n")) & ((a + b) * (1 + F.least(F.expr("a.n - a.at"), F.expr("b.n - b.at"))) >= a * F.expr("a.n + b.n"))
 
-    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
-        both = x.alias("a").join(y.alias("b"), "key").where(F.expr("a.group <> b.group") & may)
+    def meet(x: DataFrame, y: DataFrame, also: Column | None = None) -> DataFrame:
+        test = F.expr("a.group <> b.group") & may
+        both = x.alias("a").join(y.alias("b"), "key").where(test if also is None else test & also)
         return both.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
 
     def grouped(rows_: DataFrame, roots: DataFrame) -> DataFrame:
@@ -243,8 +246,13 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         last = few or turn == ROUNDS or left <= n_met
         if not left:
             break
-        if last:  # of two groups one is not the largest
-            found = tester.similar(meet(now.join(open_.select("key", "most"), "key").where("group <> most").select(now.columns), now))
+        if last:  # of two groups one is not the largest; what sketches of one width tell apart is never a row
+            words_ = [F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)]
+            wide = materialize(now.join(classes.select("id", *words_), "id"), "wide")
+            apart = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(WIDE)), F.lit(0))
+            held = (a + b) * apart <= (b - a) * F.expr("a.n + b.n")
+            found = tester.similar(meet(wide.join(open_.select("key", "most"), "key").where("group <> most").select(wide.columns), wide, held))
+            discard(wide)
         else:
             found = tester.similar(meet(now, open_.select("key", "h.*")))
         known = roots.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v")
