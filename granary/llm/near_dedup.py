@@ -4,6 +4,7 @@ Candidates come from SimHash anchors first (simhash.py, over five-word shingles)
 whose difference is one stretch, so prefix filtering looks for the rest: two sets of similarity 0.8 or more share one of their first n - ceil(0.8 n) + 1 shingles in any order
 that is the same for all. A candidate pair passes two tests. Sketches first: bit b of a set's sketch is the parity of the number of its shingles that fall to b, so the
 bits in which two sketches differ are no more than the shingles in which the sets do, and a pair that differs in more cannot be similar. Then the sets themselves are compared.
+Where all pairs of a posting are met, sketches of one width for all texts are part of the join's condition already, so that unlike pairs are never rows.
 Only links that hold join groups; no link that holds is lost.
 """
 

@@ -666,6 +666,8 @@ def test_sketches_never_differ_more_than_sets(spark):
         a = np.unique(r.integers(0, 1 << 63, r.integers(1, 900)).astype(np.uint64))
         b = np.unique(np.concatenate([a[: r.integers(0, len(a) + 1)], r.integers(0, 1 << 63, r.integers(1, 300)).astype(np.uint64)]))
         rows.append((*(near_dedup.sketch(x).view(np.int64).tolist() for x in (a, b)), len(np.setxor1d(a, b)), len(a) + len(b)))
+        wide = np.bitwise_count(near_dedup.sketch(a, near_dedup.WIDE) ^ near_dedup.sketch(b, near_dedup.WIDE))
+        assert len(wide) == near_dedup.WIDE and wide.sum() <= rows[-1][2]
     got = spark.createDataFrame(rows, "a array<long>, b array<long>, sets int, both int").withColumn("d", near_dedup.differing("a", "b")).collect()
     assert all(x["d"] <= x["sets"] and x["d"] % 2 == x["sets"] % 2 for x in got) and sum(9 * x["d"] > x["both"] for x in got) > 100
 
@@ -703,8 +705,10 @@ def test_near_duplicates_of_cut_and_appended_tails(spark):
     assert len(set(got.values())) == len(set(want))
 
 
-def test_near_duplicates_through_weak_links(spark):
-    """Copies on both sides of the least similarity: a link that fails must not stand for one that holds."""
+@pytest.mark.parametrize("rounds", [near_dedup.ROUNDS, 0])
+def test_near_duplicates_through_weak_links(spark, monkeypatch, rounds):
+    """Copies on both sides of the least similarity: a link that fails must not stand for one that holds. Without rounds all pairs go through the last join."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
     r = random.Random(5)
     vocabulary = [f"{a}{b}{c}" for a in "ba do ke li mu".split() for b in "na ter mos lin".split() for c in "s e ing ar".split()]
     made = []
