@@ -16,8 +16,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import parallelism, small_batches, table, texts, to_arrow, workspace
-from granary.llm.tokens import encoder
+from granary.llm.common import lean, parallelism, small_batches, table, texts, to_arrow, workspace
+from granary.llm.tokens import encoder, forget
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
@@ -129,7 +129,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
         if writer:
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((context.partitionId(), *writer.close()), out, strict=True)], schema=out)
 
-    return sorted(tuple(r) for r in ordered.mapInArrow(run, "shard int, n_docs long, n_ids long").collect())
+    return sorted(tuple(r) for r in ordered.mapInArrow(lean(run, lambda: forget(vocabulary)), "shard int, n_docs long, n_ids long").collect())
 
 
 def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -84,6 +85,27 @@ def may_be_among(keys: DataFrame, name: str) -> Callable[[str], Column]:
     return test
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system. Workers outlive their tasks, and what they keep counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, with forget() called and freed memory given back at the end of each task."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            give_back()
+
+    return held
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as df needs to have no such column."""
     taken = {c.lower() for c in df.columns}
@@ -106,7 +128,7 @@ def per_row(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), arrow_schema, strict=True)], schema=arrow_schema)
 
-    return df.select(*cols).mapInArrow(run, StructType.fromDDL(schema))
+    return df.select(*cols).mapInArrow(lean(run), StructType.fromDDL(schema))
 
 
 def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
@@ -119,7 +141,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | Non
         for batch in batches:
             yield batch.filter(pa.array([keep(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def change_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], str | None]]) -> DataFrame:
@@ -142,7 +164,7 @@ def change_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], str
                 columns[n_at] = pa.array(lengths, kind)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def to_arrow(spark: SparkSession, ddl: str) -> pa.Schema:

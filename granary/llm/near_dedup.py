@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import simhash
-from granary.llm.common import discard, free_name, materialize, may_be_among, parallelism, per_row, row_key, small_batches, texts, to_arrow
+from granary.llm.common import discard, free_name, lean, materialize, may_be_among, parallelism, per_row, row_key, small_batches, texts, to_arrow
 from granary.llm.graph import components
 
 #: Words in a shingle, and least similarity as a fraction.
@@ -119,7 +119,7 @@ def postings(single: DataFrame) -> DataFrame:
                 columns = [sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, out, strict=True)], schema=out)
 
-    return single.select("text").mapInArrow(run, ddl)
+    return single.select("text").mapInArrow(lean(run), ddl)
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     single = one_row_each(rows, odd, "row_key")
     dealt = postings(single)
     dealt = dealt.repartition(parallelism(dealt), "key", "salt").sortWithinPartitions("key", "digest")
-    met = dealt.mapInArrow(shared, "key long, digest binary, n int, at int, salt int").drop("salt")
+    met = dealt.mapInArrow(lean(shared), "key long, digest binary, n int, at int, salt int").drop("salt")
     met = materialize(met.join(classes.select("digest", "id"), "digest").select("key", "id", "n", "at"), "met")
     n_met = met.count()
 

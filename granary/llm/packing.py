@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, small_batches, table, texts, to_arrow
-from granary.llm.tokens import encoder
+from granary.llm.common import lean, materialize, small_batches, table, texts, to_arrow
+from granary.llm.tokens import encoder, forget
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capaci
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return texts(docs).mapInArrow(run, ddl)
+    return texts(docs).mapInArrow(lean(run, lambda: forget(vocabulary)), ddl)
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capacity: int = CAPACITY) -> DataFrame:

@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, materialize, parallelism, per_row, small_batches, table, texts
+from granary.llm.common import discard, lean, materialize, parallelism, per_row, small_batches, table, texts
 from granary.llm.graph import components
 
 THRESHOLD = 3
@@ -81,18 +82,15 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     codewords = np.zeros(4096, np.uint32)
     for i in range(12):
         codewords ^= np.where(messages >> np.uint32(i) & np.uint32(1), np.uint32(GOLAY << i), np.uint32(0))
-    words = np.arange(1 << 23, dtype=np.uint32)
-    weight = np.bitwise_count(words)
-    patterns = words[weight <= 3]
+    patterns = np.array(sorted(sum(1 << i for i in bits) for n in range(4) for bits in combinations(range(23), n)), np.uint32)
     home, error = np.zeros(1 << 23, np.uint16), np.zeros(1 << 23, np.uint16)
     for k, p in enumerate(patterns):
         home[codewords ^ p] = messages
         error[codewords ^ p] = k
-    far = np.maximum(np.bitwise_count(codewords[None, :] ^ patterns[:, None]).astype(np.int16) - 3, 0)
-    order = np.argsort(far, axis=1, kind="stable")
+    far = np.maximum(np.bitwise_count(codewords[None, :] ^ patterns[:, None]).astype(np.int8) - 3, 0, dtype=np.int8)
     width = int((far <= THRESHOLD).sum(axis=1).max())
-    near = order[:, :width].astype(np.uint32)
-    cost = np.take_along_axis(far, order[:, :width], axis=1)
+    near = np.concatenate([np.argsort(part, axis=1, kind="stable")[:, :width].astype(np.uint32) for part in np.array_split(far, 32)])  # in parts: the order of all takes 64 MB
+    cost = np.take_along_axis(far, near.astype(np.intp), axis=1)
     cost[cost > THRESHOLD] = 9
     return home, error, near, cost.astype(np.int8)
 
@@ -155,7 +153,7 @@ def homes_bitmap(prints: DataFrame, bits: int) -> np.ndarray:
             np.bitwise_or.at(value, at, np.uint64(1) << (bit & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value).view(pa.int64())], ["w", "b"])
 
-    found = prints.mapInArrow(run, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    found = prints.mapInArrow(lean(run, lambda: golay.cache_clear()), "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
     words = np.zeros(bits >> 6, np.uint64)
     words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
     return words
@@ -189,7 +187,7 @@ def links(prints: DataFrame) -> DataFrame:
             home = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), b.column(0).take(pa.array(row))], ["cell", "home", "fp"])
 
-    replicas = materialize(prints.mapInArrow(replicate, "cell long, home boolean, fp long"), "replicas")
+    replicas = materialize(prints.mapInArrow(lean(replicate, lambda: golay.cache_clear()), "cell long, home boolean, fp long"), "replicas")
     blocks = lambda home: F.ceil(F.count_if(F.col("home") == home) / HOT_CELL).cast("int")
     hot = replicas.groupBy("cell").agg(F.count("*").alias("n"), blocks(True).alias("own"), blocks(False).alias("others")).where(F.col("n") > HOT_CELL).drop("n")
     hot = materialize(hot, "hot")
@@ -233,7 +231,7 @@ def links(prints: DataFrame) -> DataFrame:
         if found:
             yield _pairs(found)
 
-    out = materialize(dealt.mapInArrow(compare, "u long, v long"), "links")
+    out = materialize(dealt.mapInArrow(lean(compare), "u long, v long"), "links")
     discard(replicas, hot)
     return out
 

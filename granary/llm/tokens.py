@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks whose ids a worker keeps, at most, and the longest chunk kept (code points).
+#: Chunks whose ids a task keeps, at most, and the longest chunk kept (code points).
 KEPT = 1_000_000
 LONGEST = 40
 #: Punctuation that, at the end of a word, is always a token of its own.
@@ -112,10 +112,15 @@ class Encoder(dict):
 
 @lru_cache(2)
 def encoder(name: str) -> Encoder:
-    """A worker's encoder: what it keeps serves all tasks that the worker runs."""
+    """A worker's encoder. The tokenizer serves all tasks that the worker runs; the ids of chunks are for one task, which ends with forget()."""
     return Encoder(name)
 
 
+def forget(name: str) -> None:
+    """Drops the ids of chunks that a worker's encoder keeps: hundreds of thousands in a task, and other tasks on the executor need the memory."""
+    encoder(name).clear()
+
+
 def _byte_letters() -> list[str]:
     """The letter that byte-level models use for each byte: printable bytes stand for themselves, the others follow U+0100 in order."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

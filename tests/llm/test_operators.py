@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokenizers import Tokenizer
@@ -618,6 +619,20 @@ def test_components(spark, monkeypatch, one_task):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_workers_keep_little(spark, some_docs, tmp_path):
+    """Python workers outlive their tasks: what a task looked up or built is gone when it ends."""
+    packing.pack(some_docs).collect()
+    arrow_ids.write_shards(some_docs, f"file://{tmp_path}/shards")
+    simhash.links(simhash.fingerprints(some_docs).select("fp").distinct()).collect()
+
+    def kept(batches):
+        for b in batches:
+            n = len(tokens.encoder(packing.VOCABULARY)) + len(tokens.encoder(arrow_ids.VOCABULARY)) + simhash.golay.cache_info().currsize
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    assert [x["n"] for x in spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()] == [0] * 16
+
+
 def test_golay_code():
     home, error, near, cost = simhash.golay()
     assert np.bincount(error).tolist() == [4096] * 2048 and near.shape[0] == 2048 and (cost[:, 0] == 0).all()
